@@ -126,3 +126,79 @@ def readable(text: str | None) -> list[str]:
 def unquote(text: str) -> str:
     """Drop the quote marks at the beginning of lines."""
     return _QUOTE.sub("", text)
+
+
+_MARKS = re.compile(r"^[ \t]*((?:[>|][ \t]?)+)")
+_RULE = re.compile(r"^\s*[_*=~#-]{5,}\s*$")
+_ORIGINAL = re.compile(r"^\s*-{3,}\s*\S.{0,60}?-{3,}\s*$")
+_FROM = re.compile(r"^\s*(?:from|von|de|expéditeur|remitente)\s?:", re.I)
+#: How the usual mail programs introduce a quoted message.
+_SAID = re.compile(r"^\s*(?:on|am|le|el)\b.{4,300}\b(?:wrote|schrieb|a écrit|écrit|escribió)\b.{0,120}:\s*$", re.I)
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
+
+
+def prose(text: str | None) -> list[list[str]]:
+    """Paragraphs of sentences that people wrote: own, quoted and attached text.
+
+    Left out are headers, attributions, header blocks of quoted messages, signatures (from the
+    line "-- " to the end of the quote level) and footers (from a rule of dashes or the like,
+    unless a header block follows it).
+    """
+    out: list[list[str]] = []
+    for part in readable(text):
+        lines, depths = [], []
+        for line in part.split("\n"):
+            m = _MARKS.match(line)
+            depths.append(m[1].count(">") + m[1].count("|") if m else 0)
+            lines.append(line[m.end() :] if m else line)
+        para: list[str] = []
+        hidden: int | None = None  # quote level at which a signature or footer runs
+        block = False  # inside the header block of a quoted message
+        level = 0
+
+        def close(para: list[str] = para) -> None:
+            if para:
+                found = [s for s in _SENTENCE.split(" ".join(para)) if s and not s.isspace()]
+                if found:
+                    out.append(found)
+                para.clear()
+
+        for i, (line, depth) in enumerate(zip(lines, depths, strict=True)):
+            blank = not line or line.isspace()
+            if depth != level:
+                close()
+                level, hidden = depth, None
+            if block:
+                block = not blank
+                continue
+            if blank:
+                close()
+                continue
+            c = line.lstrip()[0]
+            if c in "_*=~#-":
+                if line.rstrip() == "--":
+                    close()
+                    hidden = depth
+                    continue
+                if _RULE.match(line):
+                    close()
+                    after = next((x for x in lines[i + 1 : i + 3] if x and not x.isspace()), "")
+                    block = bool(_FROM.match(after))
+                    hidden = None if block else depth
+                    continue
+                if _ORIGINAL.match(line):
+                    close()
+                    block, hidden = True, None
+                    continue
+            if c in "OoAaLlEe":
+                whole = line if line.rstrip().endswith(":") else line + " " + lines[i + 1] if i + 1 < len(lines) and lines[i + 1].rstrip().endswith(":") and "<" in line + lines[i + 1] else ""
+                if whole and _SAID.match(whole):
+                    close()
+                    hidden = None
+                    if whole is not line:
+                        lines[i + 1] = ""
+                    continue
+            if hidden is None:
+                para.append(line.strip())
+        close()
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.leakage import find_leaks
+from tidemark.llm.subjects import find_subjects
 from tidemark.llm.tokens import decode_corpus, encode_corpus
 from tidemark.plans.tables import table
 
@@ -22,6 +23,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
