@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import pipeline
+from tidemark.plans import journals, pipeline
 
-FLAGSHIP = "p3_found"
-QUERIES = {**pipeline.QUERIES}
-SQL = {**pipeline.SQL}
+FLAGSHIP = "ngram_counts"
+QUERIES = {**pipeline.QUERIES, **journals.QUERIES}
+SQL = {**pipeline.SQL, **journals.SQL}
