@@ -45,7 +45,7 @@ def apply_changes(catalog: DataFrame, updates: DataFrame, key: str = "name") ->
     u = updates.select(F.col(key), "expect_revision", F.col("spec").alias("_new"))
     n = u.groupBy(key).agg(F.count("*").alias("_n"), F.first("expect_revision").alias("_expect"), F.first("_new").alias("_new"))
     top = catalog.agg(F.coalesce(F.max("revision"), F.lit(0)).alias("_top"))
-    j = catalog.join(n, key, "full_outer").crossJoin(F.broadcast(top))  # one row
+    j = catalog.join(n, key, "full_outer").withColumn("_top", top.scalar())
     wrong = F.col("_n").isNotNull() & ((F.col("_n") > 1) | ((F.col("_expect") != -1) & (F.col("_expect") != F.coalesce("revision", F.lit(0)))))
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("conflict at "), F.col(key))).cast("long")).when(F.col("_n").isNotNull(), F.col("_top") + 1).otherwise(F.col("revision"))
     touched = j.withColumn("_rev", checked)
@@ -77,7 +77,7 @@ def shed_capacity(members: DataFrame, total: Column | int) -> DataFrame:
     """
     stay = members.agg(F.coalesce(F.sum(F.col("item_limit").cast("long")), F.lit(0)).alias("_all"))
     w = Window.orderBy("create_revision", "member").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ex = members.where("exiting").withColumn("_gone", F.sum(F.col("item_limit").cast("long")).over(w)).crossJoin(F.broadcast(stay))
+    ex = members.where("exiting").withColumn("_gone", F.sum(F.col("item_limit").cast("long")).over(w)).withColumn("_all", stay.scalar())
     marked = ex.withColumn("can_leave", F.col("_all") - F.col("_gone") >= (total if isinstance(total, Column) else F.lit(total))).drop("_gone", "_all")
     return marked.unionByName(members.where("not exiting").withColumn("can_leave", F.lit(False)))
 

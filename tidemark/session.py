@@ -66,3 +66,35 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
     fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(dst) or not fs.rename(src, dst):
         raise OSError(f"cannot publish {source} as {target}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None if there is no such file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file in one step: readers see the old or the new text, never half of it."""
+    sc = spark.sparkContext
+    fs_pkg = sc._jvm.org.apache.hadoop.fs
+    conf = sc._jsc.hadoopConfiguration()
+    target, temp = fs_pkg.Path(path), fs_pkg.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    stream = fs.create(temp, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    option = sc._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+    options = sc._gateway.new_array(getattr(fs_pkg, "Options$Rename"), 1)
+    options[0] = next(o for o in option if o.name() == "OVERWRITE")
+    fs_pkg.FileContext.getFileContext(target.toUri(), conf).rename(temp, target, options)

@@ -15,14 +15,14 @@ fail), onProblem (fail or keep); for writing also codec, postfix, expectOffset (
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
-import os
 import re
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -58,28 +58,33 @@ class Fragment(InputPartition):
     path: str
     read_from: int = 0
     read_to: int = 0
+    store: str = ""
 
 
-def _local(root: str) -> str:
-    return root.removeprefix("file://").rstrip("/")
+def filesystem(root: str):
+    """The file system of a store (file, s3, gs, hdfs, ...; a path without a scheme is local) and the path on it."""
+    from pyarrow import fs
+
+    if re.match(r"\w+:", root):
+        return fs.FileSystem.from_uri(root.rstrip("/"))
+    return fs.LocalFileSystem(), root.rstrip("/")
 
 
 def list_fragments(roots: list[str], journal: str | None = None, prefix: str = "") -> list[Fragment]:
     """Manifest of all stores; names that are none are passed over. A journal is what lies above the postfix (parts with '=')."""
+    from pyarrow import fs
+
     out = []
-    for root in map(_local, roots):
-        for folder, dirs, files in os.walk(os.path.join(root, journal) if journal else root):
-            dirs.sort()
-            rel = os.path.relpath(folder, root)
-            name = "/".join(p for p in rel.split(os.sep) if "=" not in p)
-            if (journal and name != journal) or not name.startswith(prefix):
+    for root in roots:
+        store, base = filesystem(root)
+        for info in store.get_file_info(fs.FileSelector(f"{base}/{journal}" if journal else base, allow_not_found=True, recursive=True)):
+            m = _NAME.fullmatch(info.base_name) if info.type == fs.FileType.File else None
+            codec = EXTENSIONS.get((m[4] or "").lower()) if m else None
+            folders = info.path[len(base) :].strip("/").split("/")[:-1]
+            name = "/".join(p for p in folders if "=" not in p)
+            if not codec or int(m[1], 16) > int(m[2], 16) or (journal and name != journal) or not name.startswith(prefix):
                 continue
-            for f in files:
-                m = _NAME.fullmatch(f)
-                codec = EXTENSIONS.get((m[4] or "").lower()) if m else None
-                if codec and int(m[1], 16) <= int(m[2], 16):
-                    p = os.path.join(folder, f)
-                    out.append(Fragment(name, int(m[1], 16), int(m[2], 16), m[3].lower(), codec, int(os.path.getmtime(p)), p))
+            out.append(Fragment(name, int(m[1], 16), int(m[2], 16), m[3].lower(), codec, int((info.mtime_ns or 0) // 1_000_000_000), info.path, store=root))
     return out
 
 
@@ -102,13 +107,13 @@ def plan(fragments: list[Fragment], begin: int = 0, end: int = 0, begin_mod_time
                 break
             lo = max(at, f.begin)
             hi = min(f.end, end) if end else f.end
-            out.append(Fragment(f.journal, f.begin, f.end, f.sum, f.codec, f.mod_time, f.path, lo, hi))
+            out.append(replace(f, read_from=lo, read_to=hi))
             at, started = hi, True
     return out
 
 
 def read_fragment(f: Fragment, content_type: str, fail: bool) -> Iterator[tuple]:
-    with open(f.path, "rb") as file:
+    with filesystem(f.store)[0].open_input_file(f.path) as file:
         data = codecs.decompress(f.codec, file.read())
     if len(data) != f.end - f.begin:
         raise JournalError(f"{f.path} holds {len(data)} bytes instead of {f.end - f.begin}")
@@ -211,15 +216,13 @@ class JournalWriter(DataSourceWriter):
         if not {"journal", "payload"} <= set(self.names):
             raise JournalError("rows need journal and payload")
 
-    @property
-    def spool(self) -> str:
-        return os.path.join(_local(self.o.roots[0]), ".spool-" + self.run)
-
     def _roll(self, journal: str, parts: list[bytes]) -> tuple[str, str, int, str]:
         data = b"".join(parts)
-        os.makedirs(self.spool, exist_ok=True)
-        path = os.path.join(self.spool, uuid.uuid4().hex)
-        with open(path, "wb") as f:
+        store, base = filesystem(self.o.roots[0])
+        spool = f"{base}/.spool-{self.run}"
+        store.create_dir(spool, recursive=True)
+        path = f"{spool}/{uuid.uuid4().hex}"
+        with store.open_output_stream(path) as f:
             f.write(codecs.compress(self.o.codec, data))
         return journal, path, len(data), hashlib.sha1(data).hexdigest()
 
@@ -240,7 +243,7 @@ class JournalWriter(DataSourceWriter):
         return Spooled(done)
 
     def commit(self, messages):
-        root = _local(self.o.roots[0])
+        store, base = filesystem(self.o.roots[0])
         spooled = [x for m in messages if m for x in m.files if x[2]]
         heads: dict[str, int] = {}
         for j in sorted({x[0] for x in spooled}):
@@ -251,15 +254,15 @@ class JournalWriter(DataSourceWriter):
         for j, path, n, digest in spooled:
             begin = heads[j]
             heads[j] = begin + n
-            folder = os.path.join(root, j, self.o.postfix) if self.o.postfix else os.path.join(root, j)
-            os.makedirs(folder, exist_ok=True)
-            os.replace(path, os.path.join(folder, f"{begin:016x}-{begin + n:016x}-{digest}{EXTENSION_OF[self.o.codec]}"))
+            folder = f"{base}/{j}/{self.o.postfix}" if self.o.postfix else f"{base}/{j}"
+            store.create_dir(folder, recursive=True)
+            store.move(path, f"{folder}/{begin:016x}-{begin + n:016x}-{digest}{EXTENSION_OF[self.o.codec]}")
         self.abort(messages)
 
     def abort(self, messages):
-        import shutil
-
-        shutil.rmtree(self.spool, ignore_errors=True)
+        store, base = filesystem(self.o.roots[0])
+        with contextlib.suppress(FileNotFoundError, OSError):
+            store.delete_dir(f"{base}/.spool-{self.run}")
 
 
 class JournalSource(DataSource):
@@ -293,12 +296,12 @@ def manifest(spark: SparkSession, roots: list[str]):
 
     out = None
     for root in roots:
-        base = "file:" + _local(root) if not re.match(r"\w+://", root) else root.rstrip("/")
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*-*-*").load(base).select("path", "modificationTime", "length")
-        rel = F.regexp_replace(F.substring_index("path", _local(root) + "/", -1), "^/+", "")
-        folders = F.filter(F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1), lambda p: ~p.contains("="))
-        journal = F.array_join(folders, "/")
-        parsed = files.withColumn("journal", journal).withColumn("_p", parse_content_path(F.expr(f"substring(path, instr(path, '{_local(root)}/') + length('{_local(root)}/') + length(journal) + 1)")))
+        mark = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*-*-*").load(root).select("path", "modificationTime", "length")
+        rel = F.substring_index("path", mark, -1)
+        folders = F.split(rel, "/")
+        journal = F.array_join(F.filter(F.slice(folders, F.lit(1), F.size(folders) - 1), lambda p: ~p.contains("=")), "/")
+        parsed = files.withColumn("_rel", rel).withColumn("journal", journal).withColumn("_p", parse_content_path(F.substring(F.col("_rel"), F.length("journal") + 2, F.length("_rel"))))
         one = parsed.where("_p is not null").select("journal", "_p.begin_offset", "_p.end_offset", "_p.frag_sum", "_p.codec", F.lit(root).alias("store"), F.unix_timestamp("modificationTime").alias("mod_time"), "_p.path_postfix", "path", "length")
         out = one if out is None else out.unionByName(one)
     return out

@@ -8,7 +8,6 @@ changes nothing.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.operators.sequencer import Automaton
+from tidemark.session import read_text, replace_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,21 +87,14 @@ class KeyedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], order: str):
-        self.spark, self.path, self.key, self.order = spark, path.removeprefix("file://").rstrip("/"), key, order
-        os.makedirs(self.path, exist_ok=True)
+        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
 
     def _head(self) -> dict:
-        try:
-            with open(os.path.join(self.path, "HEAD")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"version": None, "owner": None, "batches": {}}
+        text = read_text(self.spark, f"{self.path}/HEAD")
+        return json.loads(text) if text else {"version": None, "owner": None, "batches": {}}
 
     def _publish(self, head: dict) -> None:
-        tmp = os.path.join(self.path, f".HEAD-{uuid.uuid4().hex}")
-        with open(tmp, "w") as f:
-            json.dump(head, f)
-        os.replace(tmp, os.path.join(self.path, "HEAD"))
+        replace_text(self.spark, f"{self.path}/HEAD", json.dumps(head))
 
     def take_over(self) -> str:
         """Become the owner; whoever was it before can commit no more."""
@@ -111,7 +104,7 @@ class KeyedTable:
 
     def read(self) -> DataFrame | None:
         v = self._head()["version"]
-        return self.spark.read.parquet(f"file://{self.path}/{v}") if v else None
+        return self.spark.read.parquet(f"{self.path}/{v}") if v else None
 
     def commit(self, owner: str, query: str, batch_id: int, rows: DataFrame, deleted: str = "false") -> bool:
         """Upsert rows (the largest `order` of a key wins; rows where `deleted` holds remove it). False if the batch is in already."""
@@ -127,7 +120,7 @@ class KeyedTable:
         cols = [c for c in fresh.columns if c not in self.key]
         latest = fresh.groupBy(*self.key).agg(F.max_by(F.struct(*cols), self.order).alias("_r")).select(*self.key, "_r.*")
         version = f"v{batch_id}-{uuid.uuid4().hex}"
-        latest.write.parquet(f"file://{self.path}/{version}")  # deleted keys stay as tombstones: late changes must not bring them back
+        latest.write.parquet(f"{self.path}/{version}")  # deleted keys stay as tombstones: late changes must not bring them back
         if self._head()["owner"] != owner:
             raise FencedError(self.path)
         self._publish(head | {"version": version, "batches": head["batches"] | {query: batch_id}})
