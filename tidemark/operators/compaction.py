@@ -111,6 +111,7 @@ def consolidate(files: DataFrame, out: str, target_bytes: int = 128 << 20, group
     records. Nothing is published unless counts and checksums agree.
     """
     spark = files.sparkSession
+    files = files.select("file_id", "journal", "begin_offset", "content", "frag_sum")
     staging = work_path(spark, "compaction-staging")
     valid = files.where("file_id is not null and journal is not null and begin_offset is not null and content is not null and frag_sum is not null and unhex(sha1(content)) = frag_sum and length(content) > 0")
     listed = valid.select("file_id", "journal", "begin_offset", (F.col("begin_offset") + F.length("content")).alias("end_offset"), "frag_sum")
@@ -144,4 +145,4 @@ def consolidate(files: DataFrame, out: str, target_bytes: int = 128 << 20, group
         remove(spark, staging)
         raise ValueError("the written files do not hold the records of the manifest; nothing was published")
     rename(spark, staging, out)
-    return spark.read.schema(_RECORDS).parquet(out)
+    return spark.read.schema(_RECORDS).parquet(out).select("journal", "record_begin", "record")

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import running_max_before
 from tidemark.session import materialize, width
 
 _MAX = np.iinfo(np.int64).max
@@ -134,9 +135,10 @@ def _stitch(frames):
     """Merge the runs at the partitions' edges; the input is three rows a partition at most."""
     import pandas as pd
 
-    rows = pd.concat(list(frames), ignore_index=True)
-    if rows.empty:
+    some = [f for f in frames if len(f)]
+    if not some:
         return
+    rows = pd.concat(some, ignore_index=True)
     rows = rows.sort_values(["part", "pos"]).to_dict("records")
     none = lambda x: None if x is None or x != x else x
     key = lambda r: tuple(none(r[k]) for k in _KEYS)
@@ -176,11 +178,11 @@ def snapshot_history(headers: DataFrame, kvs: DataFrame) -> DataFrame:
     rows = kvs.select("snapshot_id", "kv_key", "kv_value", "create_revision", "mod_revision").where("snapshot_id is not null and kv_key is not null and kv_value is not null").dropDuplicates()
     counts = kvs.where("kv_value is not null").groupBy("snapshot_id").agg(F.count_distinct("kv_key").alias("n_keys"))
     full = heads.join(counts, "snapshot_id", "left").withColumn("complete", F.coalesce(F.coalesce("n_keys", F.lit(0)) == F.col("key_count"), F.lit(False)))
-    # Next complete revision strictly after each: headers are few beside keys, and the frame is streamed.
+    # Next complete revision strictly after each: a running maximum of negated revisions, in shards of
+    # 65,536 revisions, so that no root's snapshots meet in one task.
     revs = full.groupBy("cluster_id", "root", "revision").agg(F.max("complete").alias("complete"))
-    # Descending order and a running minimum keep the frame growing, which needs no second buffer.
-    down = Window.partitionBy("cluster_id", "root").orderBy(F.col("revision").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = revs.withColumn("next_complete", F.min(F.when(F.col("complete"), F.col("revision"))).over(down)).drop("complete")
+    keyed = revs.withColumns({"_g": F.to_json(F.struct("cluster_id", "root")), "_at": -F.col("revision"), "_is": F.when(F.col("complete"), -F.col("revision"))})
+    nxt = running_max_before(keyed, "_g", "_at", "_is", "_next", F.shiftright("_at", 16)).select("cluster_id", "root", "revision", (-F.col("_next")).alias("next_complete"))
     h = heads.alias("h").join(nxt.alias("n"), F.expr("h.cluster_id <=> n.cluster_id and h.root <=> n.root and h.revision = n.revision")).select("h.snapshot_id", "h.cluster_id", "h.revision", "n.next_complete")
     states = rows.join(h, "snapshot_id").select("cluster_id", "kv_key", "create_revision", "kv_value", "mod_revision", "revision", "next_complete")
     n = width(spark)

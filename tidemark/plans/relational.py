@@ -54,12 +54,16 @@ shape(
     "nation",
     "region",
 )
+# NOT IN under an OR would be a nested loop; the same meaning, nulls included, as counts and a hash join.
 shape(
     "not_in_with_or",
-    """select p_partkey, case when p_brand in (select p_brand from {part} where p_size = 50) then 1 else 0 end as big_brand from {part}
-       where p_size = 1 or p_partkey not in (select l_partkey from {lineitem} where l_quantity > 45)""",
+    """with big as (select l_partkey from {lineitem} where l_quantity > 45), facts as (select count(*) as n, count(*) - count(l_partkey) as nulls from big)
+       select p_partkey, case when exists (select 1 from {part} q where q.p_size = 50 and q.p_brand = p.p_brand) then 1 else 0 end as big_brand from {part} p
+       where p_size = 1 or (select n from facts) = 0 or (p_partkey is not null and (select nulls from facts) = 0 and not exists (select 1 from big where l_partkey = p_partkey))""",
     "part",
     "lineitem",
+    oracle="""select p_partkey, case when p_brand in (select p_brand from part where p_size = 50) then 1 else 0 end as big_brand from part
+       where p_size = 1 or p_partkey not in (select l_partkey from lineitem where l_quantity > 45)""",
 )
 shape(
     "window_totals",
