@@ -102,12 +102,12 @@ class ItemIndex:
             o = np.argsort(keys, kind="stable")
             self.order.append(o)
             self.starts.append(np.searchsorted(keys[o], np.arange(65537)))
-        self.longest = max(map(len, texts), default=1)
-        flat = np.zeros((len(texts), self.longest + SHINGLE))
+        # Weights of all items in one array; SHINGLE spare cells after each.
+        self.first = np.concatenate([[0], np.cumsum([len(t) + SHINGLE for t in texts])]).astype(np.int64)
+        self.flat = np.zeros(self.first[-1])
         for i, w in enumerate(self.weights):
-            flat[i, : len(w)] = w
-        self.flat = flat.ravel()
-        self.total = flat.sum(1)
+            self.flat[self.first[i] : self.first[i] + len(w)] = w
+        self.total = np.array([w.sum() for w in self.weights])
 
     def lookup(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window of fp, window of the items) within RADIUS bits, each once."""
@@ -158,12 +158,15 @@ def passage(item: list[str], weight: np.ndarray, text: list[str], share: float,
     c = np.concatenate([[0], np.cumsum(got)])
     cw = np.concatenate([[0], np.cumsum(weight * got)])
     tw = np.concatenate([[0], np.cumsum(weight)])
-    i, j = np.triu_indices(len(item) + 1, need)
     least = 1 - changed
-    ends_there = got[i] & got[j - 1]  # unaltered words at both ends, so that a shorter snippet is not stretched
-    i, j = i[ends_there], j[ends_there]
-    fit = (c[j] - c[i] >= least * (j - i)) & (cw[j] - cw[i] >= least * 0.9 * (tw[j] - tw[i]))
-    return bool(fit.any())
+    starts, stops = np.flatnonzero(got), np.flatnonzero(got) + 1  # unaltered words at both ends, so that a shorter snippet is not stretched
+    for i in starts:
+        j = stops[stops >= i + need]
+        if not len(j):
+            return False
+        if ((c[j] - c[i] >= least * (j - i)) & (cw[j] - cw[i] >= least * 0.9 * (tw[j] - tw[i]))).any():
+            return True
+    return False
 
 
 def _matches(docs: list[list[str]], index: ItemIndex, share: float, changed: float) -> Iterator[tuple[int, int]]:
@@ -182,11 +185,12 @@ def _matches(docs: list[list[str]], index: ItemIndex, share: float, changed: flo
     doc, item, pos = of[at], index.item[w], index.pos[w]
     # Weight of the item's words that lie in some matching window.
     pair = doc * len(index.ids) + item
-    width = index.longest + SHINGLE
-    cells = np.unique((pair[:, None] * width + pos[:, None] + np.arange(SHINGLE)).ravel())
-    of_pair = cells // width
+    size = int(index.first[-1])
+    cells = np.unique(((doc * size + index.first[item] + pos)[:, None] + np.arange(SHINGLE)).ravel())
+    place = cells % size
+    of_pair = cells // size * len(index.ids) + np.searchsorted(index.first, place, side="right") - 1
     pairs, start = np.unique(of_pair, return_index=True)
-    weight = np.add.reduceat(index.flat[(of_pair % len(index.ids)) * width + cells % width], start)
+    weight = np.add.reduceat(index.flat[place], start)
     likely = set(pairs[weight >= 0.35 * share * index.total[pairs % len(index.ids)]].tolist())
     order = np.argsort(pair, kind="stable")
     bounds = np.flatnonzero(np.diff(pair[order], prepend=-1))
@@ -230,19 +234,21 @@ def _scan(indexes: list[ItemIndex], doc_field: T.StructField, item_type: pa.Data
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", share: float = 1 / 3, changed: float = 0.22, block_words: int = 500_000, max_items: int = 200_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", share: float = 1 / 3, changed: float = 0.22, block_words: int = 500_000, max_items: int = 200_000, max_words: int = 20_000_000) -> DataFrame:
     """id_col, item_id: each document with each item of which it carries a passage.
 
     Null, empty and blank texts leak nothing, nor do items of fewer than four words or with a null
     id or text; items of equal text are found together. A repeated document row counts once. Other
     columns are ignored. Items are a held-out set of known size: more than `max_items` of them
-    raise an error instead of being broadcast.
+    (or `max_words` words) raise an error instead of being broadcast.
     """
     rows = items.select(item_col, item_text).dropna().dropDuplicates().limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} items; pass them in several calls")
     rows.sort(key=lambda r: r[0])
     ids, texts = [r[0] for r in rows], [words(r[1]) for r in rows]
+    if sum(map(len, texts)) > max_words:
+        raise ValueError(f"more than {max_words} words of items; pass them in several calls")
     df: dict[str, int] = {}
     for t in texts:
         for w in set(t):

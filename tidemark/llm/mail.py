@@ -15,8 +15,8 @@ _CTYPE = re.compile(r"^content-type:[ \t]*([^;\s]*)(.*(?:\n[ \t].*)*)", re.I | r
 _CTE = re.compile(r"^content-transfer-encoding:[ \t]*([^;\s]+)", re.I | re.M)
 _PARAM = re.compile(r"(charset|boundary)\s*=\s*(?:\"([^\"]*)\"|([^\s;\"]+))", re.I)
 _HARD = re.compile(rb"=([0-9A-Fa-f]{2})")
-_BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr|/?ul|/?ol|/?h[1-6]|/?blockquote|/?table|hr|/?body)\b[^>]*>\n?", re.I)
-_DROP = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
+_BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr|/?ul|/?ol|/?h[1-6]|/?blockquote|/?table|hr|/?body)\b[^<>]*>\n?", re.I)
+_BLOCK = re.compile(r"<(/?)(script|style|head)\b[^<>]*>|(<!--)|(-->)", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<![^<>]*>")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
@@ -28,8 +28,9 @@ def _payload(body: str, encoding: str, charset: str) -> str:
         kept = kept[: len(kept) - (len(kept) % 4 == 1)]
         raw = binascii.a2b_base64(kept + "=" * (-len(kept) % 4))
     elif encoding == "quoted-printable":
-        soft = re.sub(r"[ \t]*=[ \t]*\n", "\x00", body)  # an encoded space before a soft break is =20
-        soft = re.sub(r"[ \t]+$", "", soft, flags=re.M).replace("\x00", "")
+        # Line by line: white space at a line's end is none of the text, "=" there joins it with the next.
+        lines = [x.rstrip(" \t") for x in body.split("\n")]
+        soft = "".join(x[:-1] if x.endswith("=") else x + "\n" for x in lines)[: None if lines[-1].endswith("=") else -1]
         raw = _HARD.sub(lambda m: bytes((int(m[1], 16),)), soft.encode("utf-8", "surrogatepass"))
     else:
         return body
@@ -63,10 +64,21 @@ def repair(text: str) -> str:
     return "\n".join(out)
 
 
+def _without_blocks(text: str) -> str:
+    """Scripts, styles, heads and comments out, in one pass. One that is never closed stays."""
+    out, at, opened, name = [], 0, 0, ""
+    for m in _BLOCK.finditer(text):
+        if not name:
+            if m[3] or (m[2] and not m[1]):
+                opened, name = m.start(), (m[2] or "-").lower()
+        elif m[4] if name == "-" else m[1] and m[2].lower() == name:
+            out.append(text[at:opened])
+            at, name = m.end(), ""
+    return " ".join([*out, text[at:]])
+
+
 def strip_markup(text: str) -> str:
-    if "<!--" in text or "</s" in text.lower() or "</head" in text.lower():
-        text = _DROP.sub(" ", text)
-    return html.unescape(_TAG.sub("", _BREAK.sub("\n", text))).replace("\xa0", " ")
+    return html.unescape(_TAG.sub("", _BREAK.sub("\n", _without_blocks(text)))).replace("\xa0", " ")
 
 
 def split_headers(text: str) -> tuple[str, str]:
