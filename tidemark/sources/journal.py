@@ -163,7 +163,7 @@ class JournalReader(DataSourceReader):
         files = list_fragments(self.o.roots, self.o.journal, self.o.prefix)
         found = plan(files, self.o.begin, self.o.end, self.o.begin_mod, self.o.end_mod, self.o.holes)
         floor, top = getattr(self, "floor", 0), getattr(self, "top", None)
-        return [f for f in found if f.read_to > floor and (top is None or f.read_from < top)] or [None]
+        return [f for f in found if f.read_to > floor and (top is None or f.read_from < top)] or [InputPartition(None)]
 
     def read(self, partition):
         if isinstance(partition, Fragment):
@@ -192,7 +192,7 @@ class JournalStreamReader(DataSourceStreamReader):
             at = max(start.get(journal, 0), self.o.begin)
             if at < to:
                 out += plan([f for f in files if f.journal == journal], at, to, self.o.begin_mod, 0, self.o.holes)
-        return out or [None]
+        return out or [InputPartition(None)]
 
     def read(self, partition):
         if isinstance(partition, Fragment):
