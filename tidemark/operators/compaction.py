@@ -134,7 +134,8 @@ def consolidate(files: DataFrame, out: str, target_bytes: int = 128 << 20, group
     (kept.repartition(width(spark), "journal", "bin").sortWithinPartitions("journal", "bin", "record_begin").withColumn("store_key", F.concat_ws("-", F.hex(F.xxhash64("journal")), "bin")).drop("bin").write.partitionBy("store_key").parquet(staging))
     written = spark.read.schema(_RECORDS).parquet(staging)
     # Starts that lie in another file's range and were not found there: none if files agree.
-    inner = found.where("not owned").groupBy("journal", "record_begin").agg(F.min("record").alias("record"))
+    shared = assigned.where("own_from > begin_offset").mapInArrow(_records, "bin string, journal string, record_begin bigint, record binary, owned boolean").where("not owned")
+    inner = shared.groupBy("journal", "record_begin").agg(F.min("record").alias("record"))
     missed = materialize(inner.join(written, ["journal", "record_begin"], "left_anti").select("journal", "record_begin", "record"), "compaction-missed")
     if missed.take(1):
         missed.repartition("journal").sortWithinPartitions("journal", "record_begin").withColumn("store_key", F.lit("supplement")).write.mode("append").partitionBy("store_key").parquet(staging)
