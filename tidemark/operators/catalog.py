@@ -18,6 +18,18 @@ def list_journals(specs: DataFrame, selector: str, claims: str | None = None) ->
     return specs.where(ok & matches(labels, claims) if claims else ok).orderBy("name")
 
 
+#: Bits of a journal's flags.
+NOT_SPECIFIED, O_RDONLY, O_WRONLY, O_RDWR = 0, 1, 2, 4
+
+
+def may_read(flags: Column) -> Column:
+    return F.coalesce(flags, F.lit(NOT_SPECIFIED)).isin(NOT_SPECIFIED, O_RDONLY, O_RDWR)
+
+
+def may_write(flags: Column) -> Column:
+    return F.coalesce(flags, F.lit(NOT_SPECIFIED)).isin(NOT_SPECIFIED, O_WRONLY, O_RDWR)
+
+
 def list_shards(specs: DataFrame, selector: str) -> DataFrame:
     return specs.where(matches(with_meta(F.col("labels"), id=F.col("id")), selector)).orderBy("id")
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, rename, width, work_path
@@ -185,6 +185,28 @@ def _duck_upsert(memory_mb: int):
     return run
 
 
+def _starts(hints: DataFrame) -> DataFrame:
+    starts = hints.select("log", F.col("first_seq_no").alias("seq_no"), F.col("first_checksum").alias("checksum")).dropna().dropDuplicates()
+    # The id is a hash of the start itself: stable if a lost task runs again.
+    return starts.withColumn("replay", F.xxhash64("log", "seq_no", "checksum"))
+
+
+def live_segments(ops: DataFrame, hints: DataFrame, shard_bits: int = 12) -> DataFrame:
+    """log, fnode, first_seq_no, last_seq_no: what must be read again to restore each live fnode of each replay.
+
+    A segment is a run of operations that follow each other and name live fnodes; runs are found per
+    fnode. In as for live_files().
+    """
+    starts = _starts(hints)
+    feed = materialize(applied_operations(ops, starts.select("replay", "log", "seq_no", "checksum"), shard_bits).where("fnode is not null"), "feed-applied")
+    state = feed.where(f"kind in ({LINK}, {UNLINK}) and path is not null").groupBy("replay", "fnode", "path").agg(F.max_by("kind", "seq_no").alias("kind"))
+    live = state.where(f"kind = {LINK}").select("replay", "fnode").distinct()
+    w = Window.partitionBy("replay", "fnode").orderBy("seq_no")
+    runs = feed.join(live, ["replay", "fnode"], "left_semi").select("replay", "fnode", "seq_no", (F.col("seq_no") - F.row_number().over(w)).alias("run"))
+    merged = runs.groupBy("replay", "fnode", "run").agg(F.min("seq_no").alias("first_seq_no"), F.max("seq_no").alias("last_seq_no"))
+    return merged.join(starts.select("replay", "log"), "replay").select("log", "fnode", "first_seq_no", "last_seq_no")
+
+
 def live_files(ops: DataFrame, hints: DataFrame, shard_bits: int = 12, rows_per_bucket: int = 200_000, bucket_memory_mb: int = 256) -> DataFrame:
     """log, path, fnode, last_seq_no: one row per path linked to a live fnode at the end of each replay.
 
@@ -197,9 +219,7 @@ def live_files(ops: DataFrame, hints: DataFrame, shard_bits: int = 12, rows_per_
     while it has a path; an unlink of what was not linked changes nothing.
     """
     spark = ops.sparkSession
-    starts = hints.select("log", F.col("first_seq_no").alias("seq_no"), F.col("first_checksum").alias("checksum")).dropna().dropDuplicates()
-    # The id is a hash of the start itself: stable if a lost task runs again.
-    starts = starts.withColumn("replay", F.xxhash64("log", "seq_no", "checksum"))
+    starts = _starts(hints)
     feed = materialize(applied_operations(ops, starts.select("replay", "log", "seq_no", "checksum"), shard_bits).where("fnode is not null"), "feed-applied")
     links = feed.where(f"kind in ({LINK}, {UNLINK}) and path is not null")
     buckets = max(width(spark), links.count() // rows_per_bucket + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.changefeed import live_files
+from tidemark.operators.changefeed import live_files, live_segments
 from tidemark.operators.compaction import consolidate
 from tidemark.operators.dedup import surplus_copies
 from tidemark.operators.history import snapshot_history
@@ -34,9 +34,34 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_files(table(spark, sf_dir, "recorded_ops"), table(spark, sf_dir, "log_hints"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def recovery_live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_segments(table(spark, sf_dir, "recorded_ops"), table(spark, sf_dir, "log_hints"))
+
+
+QUERIES = {"recovery_live_segments": recovery_live_segments, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+
+_REPLAY = """
+with recursive cand as materialized (
+  select * from (select log, seq_no, checksum, next_checksum, op_create, op_link, op_unlink, op_write,
+                 row_number() over (partition by log, seq_no, checksum order by first_offset nulls last, delivery_id) as rn
+                 from recorded_ops where log is not null and seq_no is not null and checksum is not null) where rn = 1),
+walk as (
+  select distinct log, first_seq_no as s0, first_checksum as c0, first_seq_no as seq_no, first_checksum as checksum from log_hints
+  union all
+  select w.log, w.s0, w.c0, w.seq_no + 1, c.next_checksum from walk w join cand c on c.log = w.log and c.seq_no = w.seq_no and c.checksum = w.checksum),
+done as (
+  select w.log, w.s0, w.c0, c.seq_no, op_create is not null or op_link is not null as linked, op_unlink is not null as unlinked,
+         case when op_create is not null then c.seq_no else coalesce(op_link.fnode, op_unlink.fnode, op_write.fnode) end as fnode,
+         coalesce(op_create.path, op_link.path, op_unlink.path) as path
+  from walk w join cand c on c.log = w.log and c.seq_no = w.seq_no and c.checksum = w.checksum),
+"""
 
 SQL = {
+    "recovery_live_segments": _REPLAY
+    + """live as (select distinct log, s0, c0, fnode from (select log, s0, c0, fnode, path, arg_max(linked, seq_no) as live from done where (linked or unlinked) and path is not null group by all) where live),
+runs as (select log, s0, c0, fnode, seq_no, seq_no - row_number() over (partition by log, s0, c0, fnode order by seq_no) as run from done semi join live using (log, s0, c0, fnode))
+select log, fnode, min(seq_no) as first_seq_no, max(seq_no) as last_seq_no from runs group by log, s0, c0, fnode, run
+""",
     "p1_found": """
 with heads as (select distinct snapshot_id, root, cluster_id, revision, key_count from keyspace_headers),
 kv as (select distinct snapshot_id, kv_key, kv_value, create_revision, mod_revision from keyspace_kvs where kv_value is not null and kv_key is not null),
@@ -75,21 +100,8 @@ u as (select journal, begin_offset, parts, unnest(range(1, len(parts) + 1)) as i
 select distinct journal, begin_offset + coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: strlen(x) + 1)), 0)::bigint as record_begin
 from u where i < len(parts) or strlen(parts[i]) > 0
 """,
-    "p5_found": """
-with recursive cand as materialized (
-  select * from (select log, seq_no, checksum, next_checksum, op_create, op_link, op_unlink, op_write,
-                 row_number() over (partition by log, seq_no, checksum order by first_offset nulls last, delivery_id) as rn
-                 from recorded_ops where log is not null and seq_no is not null and checksum is not null) where rn = 1),
-walk as (
-  select distinct log, first_seq_no as s0, first_checksum as c0, first_seq_no as seq_no, first_checksum as checksum from log_hints
-  union all
-  select w.log, w.s0, w.c0, w.seq_no + 1, c.next_checksum from walk w join cand c on c.log = w.log and c.seq_no = w.seq_no and c.checksum = w.checksum),
-done as (
-  select w.log, w.s0, w.c0, c.seq_no, op_create is not null or op_link is not null as linked, op_unlink is not null as unlinked,
-         case when op_create is not null then c.seq_no else coalesce(op_link.fnode, op_unlink.fnode, op_write.fnode) end as fnode,
-         coalesce(op_create.path, op_link.path, op_unlink.path) as path
-  from walk w join cand c on c.log = w.log and c.seq_no = w.seq_no and c.checksum = w.checksum),
-paths as (select log, s0, c0, fnode, path, arg_max(linked, seq_no) as live from done where (linked or unlinked) and path is not null group by all),
+    "p5_found": _REPLAY
+    + """paths as (select log, s0, c0, fnode, path, arg_max(linked, seq_no) as live from done where (linked or unlinked) and path is not null group by all),
 named as (select log, s0, c0, fnode, max(seq_no) as last_seq_no from done where fnode is not null group by all)
 select log, path, fnode, last_seq_no from paths join named using (log, s0, c0, fnode) where live
 """,

@@ -8,8 +8,8 @@ Files are {store}/{journal}/{postfix}/{begin:016x}-{end:016x}-{sha1}{extension}.
 * each file is fetched, decompressed, checked for its exact length and framed in its own task.
 
 Register with ``register(spark)``, then ``spark.read.format("journal")``, ``readStream`` and
-``df.write.format("journal")``. Options: path (store roots, comma-separated), journal (exact name)
-or prefix, contentType, beginOffset, endOffset, beginModTime, endModTime, holePolicy (skip, stop or
+``df.write.format("journal")``. Options: path (store roots, comma-separated), journal (exact name),
+journals (names, comma-separated) or prefix, contentType, beginOffset, endOffset, beginModTime, endModTime, holePolicy (skip, stop or
 fail), onProblem (fail or keep); for writing also codec, postfix, expectOffset (or -1) and maxFileBytes.
 """
 
@@ -131,6 +131,7 @@ class _Options:
             raise JournalError("option path is missing")
         self.roots = [r for r in o["path"].split(",") if r]
         self.journal, self.prefix = o.get("journal"), o.get("prefix", "")
+        self.journals = set(o["journals"].split(",")) if "journals" in o else None
         self.content_type = o.get("contenttype", "application/x-ndjson")
         self.begin, self.end = int(o.get("beginoffset", 0)), int(o.get("endoffset", 0))
         self.begin_mod, self.end_mod = int(o.get("beginmodtime", 0)), int(o.get("endmodtime", 0))
@@ -142,6 +143,11 @@ class _Options:
             raise JournalError(f"unknown codec {self.codec!r}")
 
 
+    def listing(self) -> list[Fragment]:
+        found = list_fragments(self.roots, self.journal, self.prefix)
+        return found if self.journals is None else [f for f in found if f.journal in self.journals]
+
+
 class JournalReader(DataSourceReader):
     def __init__(self, options: _Options):
         self.o = options
@@ -160,8 +166,7 @@ class JournalReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        files = list_fragments(self.o.roots, self.o.journal, self.o.prefix)
-        found = plan(files, self.o.begin, self.o.end, self.o.begin_mod, self.o.end_mod, self.o.holes)
+        found = plan(self.o.listing(), self.o.begin, self.o.end, self.o.begin_mod, self.o.end_mod, self.o.holes)
         floor, top = getattr(self, "floor", 0), getattr(self, "top", None)
         return [f for f in found if f.read_to > floor and (top is None or f.read_from < top)] or [InputPartition(None)]
 
@@ -181,12 +186,12 @@ class JournalStreamReader(DataSourceStreamReader):
 
     def latestOffset(self):
         heads: dict[str, int] = {}
-        for f in plan(list_fragments(self.o.roots, self.o.journal, self.o.prefix), 0, 0, self.o.begin_mod, 0, self.o.holes):
+        for f in plan(self.o.listing(), 0, 0, self.o.begin_mod, 0, self.o.holes):
             heads[f.journal] = max(heads.get(f.journal, 0), f.read_to)
         return heads
 
     def partitions(self, start, end):
-        files = list_fragments(self.o.roots, self.o.journal, self.o.prefix)
+        files = self.o.listing()
         out = []
         for journal, to in sorted(end.items()):
             at = max(start.get(journal, 0), self.o.begin)
