@@ -164,23 +164,21 @@ def _duck_upsert(memory_mb: int):
     """Rows (fnode, path, replay, seq_no, kind), in any order -> live (replay, fnode, path) of the bucket."""
 
     def run(batches):
-        import tempfile
-
         import duckdb
 
-        with tempfile.TemporaryDirectory() as spill:
-            con = duckdb.connect(":memory:", config={"memory_limit": f"{memory_mb}MB", "threads": 1, "temp_directory": spill})
-            con.execute("create table state (fnode bigint, path varchar, replay bigint, seq_no bigint, kind integer, primary key (replay, fnode, path))")
-            for b in batches:
-                if b.num_rows:
-                    con.register("feed", pa.Table.from_batches([b]))
-                    con.execute(_UPSERT)
-                    con.unregister("feed")
-            live = con.execute(f"select replay, fnode, path from state where kind = {LINK}")
-            while rows := live.fetchmany(20_000):
-                r, f, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(f, pa.int64()), pa.array(p, pa.string())], names=["replay", "fnode", "path"])
-            con.close()
+        # No spilling: a bucket is of bounded size, and executors have no folder of their own to rely on.
+        con = duckdb.connect(":memory:", config={"memory_limit": f"{memory_mb}MB", "threads": 1, "temp_directory": ""})
+        con.execute("create table state (fnode bigint, path varchar, replay bigint, seq_no bigint, kind integer, primary key (replay, fnode, path))")
+        for b in batches:
+            if b.num_rows:
+                con.register("feed", pa.Table.from_batches([b]))
+                con.execute(_UPSERT)
+                con.unregister("feed")
+        live = con.execute(f"select replay, fnode, path from state where kind = {LINK}")
+        while rows := live.fetchmany(20_000):
+            r, f, p = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(f, pa.int64()), pa.array(p, pa.string())], names=["replay", "fnode", "path"])
+        con.close()
 
     return run
 
@@ -207,7 +205,7 @@ def live_segments(ops: DataFrame, hints: DataFrame, shard_bits: int = 12) -> Dat
     return merged.join(starts.select("replay", "log"), "replay").select("log", "fnode", "first_seq_no", "last_seq_no")
 
 
-def live_files(ops: DataFrame, hints: DataFrame, shard_bits: int = 12, rows_per_bucket: int = 200_000, bucket_memory_mb: int = 256) -> DataFrame:
+def live_files(ops: DataFrame, hints: DataFrame, shard_bits: int = 12, rows_per_bucket: int = 200_000, bucket_memory_mb: int = 512) -> DataFrame:
     """log, path, fnode, last_seq_no: one row per path linked to a live fnode at the end of each replay.
 
     In: ops like recorded_ops, hints (log, first_seq_no, first_checksum). A replay begins at each
