@@ -20,6 +20,13 @@ def _packed(first: str, tie: str) -> Column:
     return (head + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
+def _known(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose identifier is whole; plain null checks reach the Parquet scan, dropna() would not."""
+    for c in key:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def kept_copies(df: DataFrame, key: list[str], first: str, tie: str, packed: bool = True) -> DataFrame:
     """One row per identifier: its columns and `kept`, the `tie` value of the copy to keep.
 
@@ -27,7 +34,7 @@ def kept_copies(df: DataFrame, key: list[str], first: str, tie: str, packed: boo
     comes after all others. `tie` is unique and not null; `packed` needs it to be >= 0, with
     packed=False any value is allowed and the aggregation sorts instead of hashing.
     """
-    known = df.dropna(subset=key)
+    known = _known(df, key)
     order = _packed(first, tie) if packed else F.struct(F.col(first).isNull(), F.col(first), F.col(tie))
     return known.groupBy(*key).agg(F.min_by(tie, order).alias("kept"))
 
@@ -38,7 +45,7 @@ def surplus_copies(df: DataFrame, key: list[str], first: str, tie: str, packed:
     The kept ids are anti-joined by the unique `tie`, so no identifier, however hot, meets in one
     task: what its copies cost is the map-side partial aggregation.
     """
-    known = df.dropna(subset=key)
+    known = _known(df, key)
     kept = kept_copies(df, key, first, tie, packed).select(F.col("kept").alias(tie))
     return known.select(tie).join(kept, tie, "left_anti")
 
