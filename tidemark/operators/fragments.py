@@ -30,19 +30,34 @@ def cover_set(df: DataFrame) -> DataFrame:
     return kept.withColumn("own_from", F.greatest("begin_offset", F.coalesce("_before", "begin_offset"))).drop("_before", "shard")
 
 
+def _reach(rows: DataFrame, spans: DataFrame, position: Column) -> DataFrame:
+    """Adds `_reach`: the furthest end among the spans (journal, b, e) of its journal that begin at or before a row's position.
+
+    Spans are disjoint, so that is the end of the last of them. Both sides are sorted together
+    within shards of about 20,000 rows, and one row a shard carries the furthest end over:
+    no row meets more than its neighbours, as it would in a range join.
+    """
+    left = rows.select("journal", position.alias("_p"), F.struct(*rows.columns).alias("_row"))
+    none = F.lit(None)
+    both = left.withColumn("_e", none.cast("long")).unionByName(spans.select("journal", F.col("b").alias("_p"), none.cast(left.schema["_row"].dataType).alias("_row"), F.col("e").alias("_e")))
+    stats = both.groupBy("journal").agg(F.count("*").alias("n"), F.min("_p").cast("double").alias("lo"), F.max("_p").cast("double").alias("hi"))
+    k = F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / F.lit(20_000)) + 1)))).cast("int")
+    d = both.join(stats.select("journal", k.alias("_k")), "journal").withColumn("_s", F.expr("shiftright(_p, _k)"))
+    upto = Window.partitionBy("journal", "_s").orderBy("_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = d.groupBy("journal", "_s").agg(F.max("_e").alias("_m"))
+    carry = carry.withColumn("_c", F.max("_m").over(Window.partitionBy("journal").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    seen = d.withColumn("_here", F.max("_e").over(upto)).join(carry, ["journal", "_s"])
+    return seen.where("_row is not null").select("_row.*", F.coalesce(F.greatest("_here", "_c"), F.lit(-(2**63))).alias("_reach"))
+
+
+def _spans(df: DataFrame, begin: str, end: str) -> DataFrame:
+    return coverage(df, "journal", begin, end).where("kind = 'span'").select("journal", F.col(begin).alias("b"), F.col(end).alias("e"))
+
+
 def cover_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of `a` that no unbroken chain of `b` covers. Rows that cover nothing are left out."""
-    spans = coverage(valid(b), "journal", "begin_offset", "end_offset").where("kind = 'span'").drop("kind")
-    left = valid(a).withColumn("_row", F.struct(*a.columns)).select("journal", "begin_offset", "end_offset", "_row")
-    none = F.lit(None).cast(left.schema["_row"].dataType)
-    # Spans are disjoint and ascending: the furthest end among those that begin no later is the one that may cover.
-    both = left.withColumn("_span_end", F.lit(None).cast("long")).unionByName(spans.withColumn("_span_end", F.col("end_offset")).withColumn("_row", none))
-    d = sharded(both)
-    upto = Window.partitionBy("journal", "shard").orderBy("begin_offset").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = d.groupBy("journal", "shard").agg(F.max("_span_end").alias("_m"))
-    carry = carry.withColumn("_c", F.max("_m").over(Window.partitionBy("journal").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
-    seen = d.withColumn("_here", F.max("_span_end").over(upto)).join(carry, ["journal", "shard"])
-    return seen.where(F.col("_row").isNotNull() & (F.coalesce(F.greatest("_here", "_c"), F.lit(-(2**63))) < F.col("end_offset"))).select("_row.*")
+    d = _reach(valid(a), _spans(valid(b), "begin_offset", "end_offset"), F.col("begin_offset"))
+    return d.where("_reach < end_offset").drop("_reach")
 
 
 def gaps(df: DataFrame) -> DataFrame:
@@ -83,7 +98,7 @@ def page(fragments: DataFrame, begin_mod_time: int = 0, end_mod_time: int = 0, a
     t = F.col("mod_time")
     keep = F.when(t == 0, F.lit(end_mod_time == 0)).otherwise((t >= begin_mod_time) & ((t <= end_mod_time) if end_mod_time else F.lit(True)))
     rows = fragments.where(keep & (F.col("begin_offset") >= after))
-    w = Window.partitionBy("journal").orderBy("begin_offset", "end_offset", "frag_sum", "store")
+    w = Window.partitionBy("journal").orderBy("begin_offset", "end_offset", "mod_time", "frag_sum", "store")
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
@@ -108,8 +123,8 @@ def prunable(fragments: DataFrame, live: DataFrame, complete: DataFrame | None =
     f = valid(fragments).where("store is not null")
     if complete is not None:
         f = f.join(complete.select("journal").distinct(), "journal", "left_semi")
-    spans = coverage(live, "journal", "first_offset", "last_offset").where("kind = 'span'").select("journal", F.col("first_offset").alias("_b"), F.col("last_offset").alias("_e"))
-    return f.join(spans, (f.journal == spans.journal) & (spans._b < f.end_offset) & (spans._e > f.begin_offset), "left_anti")
+    d = _reach(f, _spans(live, "first_offset", "last_offset"), F.col("end_offset") - 1)
+    return d.where("_reach <= begin_offset").drop("_reach")
 
 
 def merge_remote(local: DataFrame, remote: DataFrame) -> DataFrame:

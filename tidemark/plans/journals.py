@@ -295,7 +295,7 @@ def fragment_gaps(spark, sf_dir):
     return fragments.gaps(table(spark, sf_dir, "fragments"))
 
 
-@query("with g as (select *, row_number() over (partition by journal order by begin_offset nulls first, end_offset nulls first, frag_sum nulls first, store nulls first) as n from fragments where mod_time <> 0 and mod_time >= 1741100000 and mod_time <= 1741500000 and begin_offset >= 0) select journal, begin_offset, end_offset, mod_time from g where n <= 3")
+@query("with g as (select *, row_number() over (partition by journal order by begin_offset nulls first, end_offset nulls first, mod_time, frag_sum nulls first, store nulls first) as n from fragments where mod_time <> 0 and mod_time >= 1741100000 and mod_time <= 1741500000 and begin_offset >= 0) select journal, begin_offset, end_offset, mod_time from g where n <= 3")
 def fragment_page(spark, sf_dir):
     return fragments.page(table(spark, sf_dir, "fragments"), 1_741_100_000, 1_741_500_000, limit=3).select("journal", "begin_offset", "end_offset", "mod_time")
 
@@ -305,7 +305,7 @@ def fragment_extent(spark, sf_dir):
     return fragments.extent(table(spark, sf_dir, "fragments")).withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
-@query(f"select journal, begin_offset, end_offset, mod_time from fragments where mod_time > 0 and store is not null and {NOW} - mod_time >= case when journal like '%tiny%' then 86400 when journal like '%rides%' then 0 else 345600 end and journal not like '%rides%'")
+@query(f"with r as (select *, case when contains(journal, 'tiny') then 86400 when contains(journal, 'rides') then 0 else 345600 end as retention from fragments) select journal, begin_offset, end_offset, mod_time from r where mod_time > 0 and store is not null and retention > 0 and {NOW} - mod_time >= retention")
 def prune_retention(spark, sf_dir):
     r = F.when(F.col("journal").contains("tiny"), 86_400).when(F.col("journal").contains("rides"), 0).otherwise(345_600)
     return fragments.aged_out(table(spark, sf_dir, "fragments"), r, NOW).select("journal", "begin_offset", "end_offset", "mod_time")
