@@ -338,7 +338,7 @@ def fragment_query(spark, sf_dir):
     return fragments.query(f, req, now=NOW)
 
 
-@query("select journal, 'file' as kind, count(*) as n_files, count(*) filter (sha1(content) = lower(hex(frag_sum))) as n_valid, sum(octet_length(content)) as n_bytes from fragment_files group by 1, 2")
+@query("select journal, 'file' as kind, count(*) as n_files, count(*) filter (sha1(content) = lower(hex(frag_sum))) as n_valid, sum(octet_length(content))::bigint as n_bytes from fragment_files group by 1, 2")
 def fragment_sums(spark, sf_dir):
     """Files of each journal, and those whose content has the sum it should have."""
     f = table(spark, sf_dir, "fragment_files")

@@ -67,12 +67,12 @@ shape(
 )
 shape(
     "window_totals",
-    """select event_type, user_id, n, count(*) over (partition by event_type) - 1 as others, sum(case when n > 3 then 1 else 0 end) over (partition by event_type) as busy
+    """select event_type, user_id, n, count(*) over (partition by event_type) - 1 as others, cast(sum(case when n > 3 then 1 else 0 end) over (partition by event_type) as bigint) as busy
        from (select event_type, user_id, count(*) as n from {events} group by event_type, user_id) t""",
     "events",
 )
 shape("topk", "select o_orderkey, o_totalprice from {orders} order by o_totalprice desc, o_orderkey limit 25", "orders")
-shape("keyed_running_sum", "select event_id, user_id, sum(event_id % 10) over (partition by user_id order by event_id rows between unbounded preceding and current row) as running from {events}", "events")
+shape("keyed_running_sum", "select event_id, user_id, cast(sum(event_id % 10) over (partition by user_id order by event_id rows between unbounded preceding and current row) as bigint) as running from {events}", "events")
 shape("recursive_generator", "with recursive g(n) as (select 1 union all select n + 1 from g where n < 90) select n, n * n as square from g")
 shape(
     "recursive_walk",
@@ -94,7 +94,7 @@ shape(
 )
 shape(
     "multi_source_join",
-    """select e.event_type, c_mktsegment, count(*) as n, sum(e.event_id) as ids from {events} e join {customer} c on e.user_id = c.c_custkey group by e.event_type, c_mktsegment""",
+    """select e.event_type, c_mktsegment, count(*) as n, cast(sum(e.event_id) as bigint) as ids from {events} e join {customer} c on e.user_id = c.c_custkey group by e.event_type, c_mktsegment""",
     "events",
     "customer",
 )

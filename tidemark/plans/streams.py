@@ -74,7 +74,7 @@ def stream_committed(spark, sf_dir):
         return _drain(spark, consumer.committed_stream(m)).drop("payload")
 
 
-@query("select event_type, sum(event_id) as total, count(*) as count from events group by 1")
+@query("select event_type, sum(event_id)::bigint as total, count(*) as count from events group by 1")
 def stream_running_sums(spark, sf_dir):
     out = _drain(spark, consumer.running_sums(_stream(spark, sf_dir, "events"), "event_type", "event_id"), "complete")
     last = out.groupBy("event_type").agg(F.max_by(F.struct("total", "count"), "_batch").alias("r"))
