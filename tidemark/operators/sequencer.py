@@ -2,9 +2,9 @@
 
 A message has journal, begin_offset, producer, clock and flags. Per (journal, producer), in offset
 order, a small automaton keeps the clock of the last acknowledgement (exclusive lower bound), the
-largest clock, and whether a span of pending messages is open. The batch form numbers the spans in
-one streamed pass which holds three numbers and nothing else, and finds out what became of each
-span; whether a message is committed is then an ordinary join.
+largest clock, and whether a span of pending messages is open. The batch form cuts producers behind
+their acknowledgements, numbers the spans in one streamed pass which holds three numbers and nothing
+else, and finds out what became of each span; whether a message is committed is then a join.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.uuids import ACK, CONTINUE, OUTSIDE
+from tidemark.operators.intervals import running_max_before
 from tidemark.session import materialize, width
 
 OUTCOMES = ("outside_already_acked", "outside_commit", "continue_already_acked", "continue_clock_larger", "continue_begin_span", "continue_extend_span", "ack_rollback", "ack_empty", "ack_commit")
@@ -58,43 +59,55 @@ class Automaton:
         return "outside_commit", low
 
 
-_FOLDED = pa.schema([("journal", pa.string()), ("producer", pa.string()), ("begin_offset", pa.int64()), ("clock", pa.int64()), ("flags", pa.int32()), ("outcome", pa.string()), ("span", pa.int64()), ("low", pa.int64())])
+_FOLDED = pa.schema([("journal", pa.string()), ("producer", pa.string()), ("begin_offset", pa.int64()), ("clock", pa.int64()), ("flags", pa.int32()), ("since", pa.int64()), ("outcome", pa.string()), ("span", pa.int64()), ("low", pa.int64())])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by journal, producer, offset of the acknowledgement before, own offset."""
     key, a, span = None, Automaton(), 0
     for b in batches:
         outcome, spans, low = [], [], []
-        for j, p, clock, flags in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            if (j, p) != key:
-                key, a, span = (j, p), Automaton(), 0
+        columns = [b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
+        for j, p, clock, flags, since, ack in zip(*columns, strict=True):
+            if (j, p, since) != key:
+                key, a, span = (j, p, since), Automaton(ack, ack), 0
             o, lo = a.step(clock, flags)
             if o == "continue_begin_span":
                 span += 1
             outcome.append(o)
             spans.append(span)
             low.append(lo)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(outcome), pa.array(spans, pa.int64()), pa.array(low, pa.int64())], schema=_FOLDED)
+        yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(outcome), pa.array(spans, pa.int64()), pa.array(low, pa.int64())], schema=_FOLDED)
 
 
-def outcomes(messages: DataFrame) -> DataFrame:
-    """Outcome of each message (journal, producer, begin_offset, clock, flags), with its span's number and lower clock bound.
+def outcomes(messages: DataFrame, shard_bits: int = 26) -> DataFrame:
+    """Outcome of each message (journal, producer, begin_offset, clock, flags), with its span and lower clock bound.
+
+    An acknowledgement sets the automaton to its own clock whatever came before. So a producer is cut
+    behind each of its acknowledgements (`since`: the offset of the one before, -1 if none), and the
+    pieces are folded in parallel; a producer with a third of all rows is as many pieces as
+    transactions. The acknowledgement before is found in shards of 2**shard_bits bytes.
 
     Rows with a null journal, offset or clock are no messages; a null producer is one of its own
     and null flags are 0. Extra columns are ignored.
     """
     rows = messages.where("journal is not null and begin_offset is not null and clock is not null").select("journal", "producer", F.col("begin_offset").cast("long"), F.col("clock").cast("long"), F.coalesce(F.col("flags").cast("int"), F.lit(OUTSIDE)).alias("flags"))
-    ordered = rows.repartition(width(messages.sparkSession), "journal", "producer").sortWithinPartitions("journal", "producer", "begin_offset")
-    return ordered.mapInArrow(_fold, "journal string, producer string, begin_offset bigint, clock bigint, flags int, outcome string, span bigint, low bigint")
+    who = F.concat_ws("\x00", F.col("journal"), F.coalesce("producer", F.lit("\x01")))
+    ack = F.when((F.col("flags") == ACK) & (F.col("clock") != 0), F.struct("begin_offset", "clock"))
+    keyed = rows.withColumns({"_who": who, "_ack": ack})
+    cut = running_max_before(keyed, "_who", "begin_offset", "_ack", "_last", F.shiftright("begin_offset", shard_bits))
+    pieces = cut.select("journal", "producer", "begin_offset", "clock", "flags", F.coalesce("_last.begin_offset", F.lit(-1).cast("long")).alias("since"), F.col("_last.clock").alias("ack_clock"))
+    ordered = pieces.repartition(width(messages.sparkSession), "journal", "producer", "since").sortWithinPartitions("journal", "producer", "since", "begin_offset")
+    return ordered.mapInArrow(_fold, "journal string, producer string, begin_offset bigint, clock bigint, flags int, since bigint, outcome string, span bigint, low bigint")
 
 
-def committed(messages: DataFrame, drop_acks: bool = False) -> DataFrame:
+def committed(messages: DataFrame, drop_acks: bool = False, shard_bits: int = 26) -> DataFrame:
     """Committed messages with commit_begin, the offset of what committed them. Order: journal, commit_begin, begin_offset."""
-    folded = materialize(outcomes(messages), "sequenced")
-    acks = folded.where("outcome = 'ack_commit'").select("journal", "producer", "span", F.col("clock").alias("ack"), F.col("low").alias("floor"), F.col("begin_offset").alias("commit_begin"))
+    folded = materialize(outcomes(messages, shard_bits), "sequenced")
+    acks = folded.where("outcome = 'ack_commit'").select("journal", "producer", "since", "span", F.col("clock").alias("ack"), F.col("low").alias("floor"), F.col("begin_offset").alias("commit_begin"))
     pending = folded.where("outcome in ('continue_begin_span', 'continue_extend_span')").drop("outcome", "low")
     m, k = pending.alias("m"), acks.alias("k")
-    in_span = m.join(k, F.expr("m.journal = k.journal and m.producer <=> k.producer and m.span = k.span and m.clock > k.floor and m.clock <= k.ack"))
+    in_span = m.join(k, F.expr("m.journal = k.journal and m.producer <=> k.producer and m.since = k.since and m.span = k.span and m.clock > k.floor and m.clock <= k.ack"))
     out = in_span.select("m.journal", "m.producer", "m.begin_offset", "m.clock", "m.flags", "k.commit_begin")
     self_committed = folded.where("outcome in ('outside_commit', 'ack_empty', 'ack_commit')").select("journal", "producer", "begin_offset", "clock", "flags", F.col("begin_offset").alias("commit_begin"))
     both = out.unionByName(self_committed)
@@ -116,7 +129,6 @@ def producer_states(messages: DataFrame) -> DataFrame:
     folded = materialize(outcomes(messages), "sequenced").where("clock <> 0")
     last = folded.groupBy("journal", "producer").agg(
         F.max_by("outcome", "begin_offset").alias("last"),
-        F.max_by("span", "begin_offset").alias("span"),
         F.max(F.when(F.col("outcome").isin("outside_commit", "ack_rollback", "ack_empty", "ack_commit"), F.struct("begin_offset", "clock"))).alias("settled"),
         F.min_by("low", "begin_offset").alias("first_low"),
         F.max(F.when(F.col("outcome") == "continue_begin_span", F.struct("begin_offset"))["begin_offset"]).alias("opened"),
