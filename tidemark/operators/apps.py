@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksums import crc64_update
 from tidemark.functions.mapping import modulo
 from tidemark.functions.ngrams import ngrams
+from tidemark.operators.intervals import coverage
 from tidemark.session import width
 
 
@@ -105,13 +106,11 @@ def reduce_segments(segments: DataFrame) -> DataFrame:
     first_offset is a lower bound, of which the tightest is kept at the first seq_no; a last_offset
     of 0 is unknown. Rows with a null log, author or seq_no, and reversed ones, are no segments.
     """
-    s = segments.where("log is not null and author is not null and first_seq_no is not null and last_seq_no >= first_seq_no").dropDuplicates(["log", "author", "first_seq_no", "last_seq_no", "first_offset", "last_offset"])
-    w = Window.partitionBy("log", "author").orderBy("first_seq_no", F.col("last_seq_no").desc())
-    new = F.coalesce((F.col("first_seq_no") > F.max("last_seq_no").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(1))
-    marked = s.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy("log", "author", "_run").agg(
-        F.min("first_seq_no").alias("first_seq_no"),
-        F.max("last_seq_no").alias("last_seq_no"),
-        F.min_by("first_offset", F.struct("first_seq_no", -F.coalesce("first_offset", F.lit(0)))).alias("first_offset"),
-        F.max_by("last_offset", F.struct("last_seq_no", F.coalesce("last_offset", F.lit(0)))).alias("last_offset"),
-    ).drop("_run")
+    s = segments.where("log is not null and author is not null and first_seq_no is not null and last_seq_no >= first_seq_no")
+    s = s.select(F.struct("log", "author").alias("who"), "first_seq_no", "last_seq_no", "first_offset", "last_offset")
+    # Runs are coverage of sequence numbers, which is found in shards; offsets come by equality with a run's ends.
+    spans = coverage(s.select("who", "first_seq_no", (F.col("last_seq_no") + 1).alias("stop")), "who", "first_seq_no", "stop").where("kind = 'span'")
+    runs = spans.select("who", "first_seq_no", (F.col("stop") - 1).alias("last_seq_no"))
+    first = s.groupBy("who", "first_seq_no").agg(F.max("first_offset").alias("first_offset"))
+    last = s.groupBy("who", "last_seq_no").agg(F.max("last_offset").alias("last_offset"))
+    return runs.join(first, ["who", "first_seq_no"]).join(last, ["who", "last_seq_no"]).select("who.*", "first_seq_no", "last_seq_no", "first_offset", "last_offset")
