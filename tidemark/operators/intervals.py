@@ -44,8 +44,9 @@ def coverage(df: DataFrame, entity: str, begin: str, end: str, rows_per_shard: i
     stats = rows.groupBy("j").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("e").alias("hi"))
     shards = F.ceil(F.col("n") / F.lit(rows_per_shard))
     extent = F.col("hi").cast("double") - F.col("lo").cast("double")
-    stats = stats.select("j", F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(extent / shards + 1)))).cast("int").alias("k"))
-    cut = rows.join(stats, "j").withColumns({"s1": _shard("b"), "s2": _shard("e - 1")})
+    # Both are read again below: written once, the input is scanned and shuffled once.
+    stats = materialize(stats.select("j", F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(extent / shards + 1)))).cast("int").alias("k")), "coverage-widths")
+    cut = materialize(rows.join(stats, "j").withColumns({"s1": _shard("b"), "s2": _shard("e - 1")}), "coverage-cut")
     inner = F.array(F.struct(F.col("s1").alias("s"), F.col("b"), F.col("e")))
     parts = F.when(F.col("s1") == F.col("s2"), inner).otherwise(
         F.array(
