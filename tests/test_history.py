@@ -61,15 +61,15 @@ def made(seed, keys=6, snaps=40, hot=False):
     return headers + headers[:3], kvs
 
 
-def run(spark, headers, kvs):
-    got = snapshot_history(spark.createDataFrame(headers, HEADERS), spark.createDataFrame(kvs, KVS))
+def run(spark, headers, kvs, **kw):
+    got = snapshot_history(spark.createDataFrame(headers, HEADERS), spark.createDataFrame(kvs, KVS), **kw)
     return sorted((tuple(r) for r in got.select("cluster_id", "kv_key", "valid_from_rev", "valid_to_rev").collect()), key=repr)
 
 
 def test_against_brute_force(spark):
     for seed in range(3):
         h, k = made(seed)
-        assert run(spark, h, k) == brute(h, k)
+        assert run(spark, h, k) == brute(h, k) == run(spark, h, k, broadcast_snapshots=0)
 
 
 def test_hot_entity_spans_partitions(spark):

@@ -160,7 +160,7 @@ def _stitch(frames):
     yield pd.DataFrame({"cluster_id": [r["cluster_id"] for r in out], "kv_key": [r["kv_key"] for r in out], "valid_from_rev": [r["start"] for r in out], "valid_to_rev": [r["valid_to"] for r in out], "kv_value": [r["kv_value"] for r in out], "create_revision": [r["create_revision"] for r in out]})
 
 
-def snapshot_history(headers: DataFrame, kvs: DataFrame) -> DataFrame:
+def snapshot_history(headers: DataFrame, kvs: DataFrame, broadcast_snapshots: int = 200_000) -> DataFrame:
     """Versions of each key of a cluster with the revisions between which they held.
 
     In: headers (snapshot_id, root, cluster_id, revision, key_count), kvs (snapshot_id, kv_key,
@@ -184,6 +184,10 @@ def snapshot_history(headers: DataFrame, kvs: DataFrame) -> DataFrame:
     keyed = revs.withColumns({"_g": F.to_json(F.struct("cluster_id", "root")), "_at": -F.col("revision"), "_is": F.when(F.col("complete"), -F.col("revision"))})
     nxt = running_max_before(keyed, "_g", "_at", "_is", "_next", F.shiftright("_at", 16)).select("cluster_id", "root", "revision", (-F.col("_next")).alias("next_complete"))
     h = heads.alias("h").join(nxt.alias("n"), F.expr("h.cluster_id <=> n.cluster_id and h.root <=> n.root and h.revision = n.revision")).select("h.snapshot_id", "h.cluster_id", "h.revision", "n.next_complete")
+    # Up to broadcast_snapshots snapshots (counted first) are sent to all tasks, so that values are not shuffled by snapshot.
+    h = materialize(h, "history-snapshots")
+    if h.count() <= broadcast_snapshots:
+        h = F.broadcast(h)
     states = rows.join(h, "snapshot_id").select("cluster_id", "kv_key", "create_revision", "kv_value", "mod_revision", "revision", "next_complete")
     n = width(spark)
     ordered = states.repartitionByRange(n, "cluster_id", "kv_key", "revision").sortWithinPartitions("cluster_id", "kv_key", "revision", "create_revision", "mod_revision", "kv_value")
