@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(flat: list[str]) -> np.ndarray:
+def word_hashes(flat: list[str]) -> np.ndarray:
     import xxhash
 
     coded = pa.array(flat, pa.string()).dictionary_encode()
@@ -91,7 +91,7 @@ class ItemIndex:
         self.weights = [np.array([idf.get(w, 0.0) for w in t]) for t in texts]
         fps, item, pos = [], [], []
         for i, t in enumerate(texts):
-            f = fingerprints(_hashes(t)) if len(t) >= SHINGLE else np.zeros(0, np.uint64)
+            f = fingerprints(word_hashes(t)) if len(t) >= SHINGLE else np.zeros(0, np.uint64)
             fps.append(f)
             item.append(np.full(len(f), i))
             pos.append(np.arange(len(f)))
@@ -178,7 +178,7 @@ def _matches(docs: list[list[str]], index: ItemIndex, share: float, changed: flo
         return
     of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    fp = fingerprints(_hashes(flat))
+    fp = fingerprints(word_hashes(flat))
     inside = np.flatnonzero(of[: len(fp)] == of[SHINGLE - 1 :])
     d, w = index.lookup(fp[inside])
     at = inside[d]
