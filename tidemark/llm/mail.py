@@ -19,8 +19,12 @@ _BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr|/?ul|/?ol|/?h[1-6]|/?blockqu
 _BLOCK = re.compile(r"<(/?)(script|style|head)\b[^<>]*>|(<!--)|(-->)", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<![^<>]*>")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
+_IS_HTML = re.compile(r"\s*<html\b", re.I)
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 
+#: Parts nested deeper than this are read as they stand.
+DEPTH = 100
+
 
 def _payload(body: str, encoding: str, charset: str) -> str:
     if encoding == "base64":
@@ -95,7 +99,7 @@ def split_headers(text: str) -> tuple[str, str]:
 def _leaves(head: str, body: str, depth: int, out: list[tuple[str, str]]) -> None:
     m = _CTYPE.search(head)
     kind, params = (m[1].lower(), {k.lower(): a or b for k, a, b in _PARAM.findall(m[2])}) if m else ("text/plain", {})
-    if kind.startswith("multipart/") and params.get("boundary") and depth < 8:
+    if kind.startswith("multipart/") and params.get("boundary") and depth < DEPTH:
         sections = ("\n" + body).split("\n--" + params["boundary"])
         if len(sections) > 1:
             found: list[tuple[str, str]] = []
@@ -113,15 +117,16 @@ def _leaves(head: str, body: str, depth: int, out: list[tuple[str, str]]) -> Non
                 found = plain or found
             out += found
             return
+    if kind.startswith("multipart/"):  # it cannot be taken apart: read as it stands
         kind = "text/plain"
     if not (kind.startswith("text/") or kind in ("", "message/rfc822")):
         return
     c = _CTE.search(head)
     text = repair(_payload(body, c[1].lower() if c else "", (params.get("charset") or "").lower()))
-    if kind == "message/rfc822" and depth < 8:
+    if kind == "message/rfc822" and depth < DEPTH:
         _leaves(*split_headers(text), depth + 1, out)
         return
-    if kind == "text/html" or text[:200].lstrip()[:6].lower() == "<html>":
+    if kind == "text/html" or _IS_HTML.match(text):
         text = strip_markup(text)
     out.append((kind, text))
 
