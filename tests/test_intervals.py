@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidemark.operators.intervals import coverage, running_max_before
+from tidemark.operators.intervals import coverage, quantile_shards, running_max_before
 
 SCHEMA = "journal string, b bigint, e bigint, s bigint"
 
@@ -47,6 +47,21 @@ def test_long_interval_over_many_shards(spark):
     assert run(spark, rows, rows_per_shard=2) == brute(rows)
 
 
+def test_shards_hold_like_numbers_of_rows_wherever_offsets_lie(spark):
+    """One far jump, and offsets that crowd: no shard holds more than twice its share."""
+    rows = [("a", i, i + 1, 1) for i in range(4000)] + [("a", 2**60, 2**60 + 5, 1)] + [("a", 10**9 + (i * i) % 7919 * 1000, 10**9 + (i * i) % 7919 * 1000 + 7, 1) for i in range(3999)] + [("small", 5, 6, 1)]
+    got = quantile_shards(spark.createDataFrame(rows, SCHEMA), "journal", "b", per_shard=400, name="shard").where("journal = 'a'")
+    counts = {r.shard: r["count"] for r in got.groupBy("shard").count().collect()}
+    assert len(counts) == 20 and max(counts.values()) <= 2 * 400
+    last, upto = {}, []
+    for r in got.collect():
+        lo, hi = last.get(r.shard, (r.b, r.b))
+        last[r.shard] = (min(lo, r.b), max(hi, r.b))
+    upto = [last[k] for k in sorted(last)]
+    assert all(x[1] < y[0] for x, y in zip(upto, upto[1:]))
+    assert run(spark, rows, rows_per_shard=400) == brute(rows)
+
+
 def test_extremes_nulls_and_repeats(spark):
     big = 2**63 - 1
     rows = [("a", 0, big, 1), ("a", 0, big, 1), ("a", -(2**63), -5, 1), ("a", None, 5, 1), ("a", 5, None, 1), ("a", 9, 3, 1), ("a", 3, 3, 1), (None, 1, 2, 1), ("b", 2**53 + 1, 2**53 + 3, 1), ("b", 2**53 + 3, 2**53 + 4, 1)]

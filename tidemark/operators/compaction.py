@@ -1,17 +1,16 @@
 """Consolidate very many tiny files into few well-sized ones, each record once.
 
-The steps, each restartable from the written result of the one before:
-
-1. a manifest of the valid files (content has its SHA-1 sum) is written and from then on frozen;
-2. repeated files and ranges that other files cover are settled in the manifest: each file owns
-   the bytes after the furthest end of the files before it (no content is moved for that);
-3. files are packed into bins by owned bytes, first-fit decreasing, per journal and in groups of
-   bounded size;
-4. each bin is rewritten to one file of records in journal order;
-5. rows and checksums of the written files are compared with those of the manifest's owned
-   records, counted before anything was moved; records that start inside a range which another
-   file was trusted to hold, and that it does not hold, are written to a supplementary bin;
-6. the result is published with one rename.
+1. A manifest of the valid files (content has its SHA-1 sum) is written and from then on frozen.
+2. Repeated files and ranges that other files cover are settled in the manifest: each file owns
+   the bytes after the furthest end of the files before it (no content is moved for that).
+3. Files are packed into bins by owned bytes, first-fit decreasing, in groups of neighbouring files of one
+   journal, so that a bin holds one stretch of it. Bins that stay small are packed together once
+   more, so that many tiny journals share a file, within which they are sorted.
+4. Each bin is rewritten to one file of records in journal order.
+5. Rows and checksums of the written files are compared with those of the manifest's owned
+   records, counted at the source; records that start inside a range which another
+   file was trusted to hold, and that it does not hold, are written to supplementary files, so none is lost.
+6. The result is published with one rename.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import running_max_before
+from tidemark.operators.intervals import quantile_shards, running_max_before
 from tidemark.session import materialize, remove, rename, width, work_path
 
 _RECORDS = "journal string, record_begin bigint, record binary"
@@ -59,10 +58,22 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack(capacity: int):
+    """Files of one stretch of a journal -> (file_id, own_from, journal, bin, owned_bytes)."""
+
     def run(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
         files = files.sort_values(["owned_bytes", "begin_offset"], ascending=[False, True])
         bins = first_fit_decreasing(files["owned_bytes"].to_numpy(), capacity)
-        return pd.DataFrame({"file_id": files["file_id"], "own_from": files["own_from"], "bin": [f"{key[1]}-{b}" for b in bins]})
+        return pd.DataFrame({"file_id": files["file_id"], "own_from": files["own_from"], "journal": files["journal"], "bin": [f"{key[1]}-{b}" for b in bins], "owned_bytes": files["owned_bytes"]})
+
+    return run
+
+
+def _share(capacity: int):
+    """Bins of some journals -> (journal, bin, store_key): the file each is written to."""
+
+    def run(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+        bins = bins.sort_values(["bytes", "journal", "bin"], ascending=[False, True, True])
+        return pd.DataFrame({"journal": bins["journal"], "bin": bins["bin"], "store_key": [f"{key[0]}-{b}" for b in first_fit_decreasing(bins["bytes"].to_numpy(), capacity)]})
 
     return run
 
@@ -74,8 +85,8 @@ def _split(content: bytes) -> list[bytes]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """journal, begin_offset, content, own_from, bin -> bin, journal, record_begin, record, owned."""
-    schema = pa.schema([("bin", pa.string()), ("journal", pa.string()), ("record_begin", pa.int64()), ("record", pa.binary()), ("owned", pa.bool_())])
+    """journal, begin_offset, content, own_from, store_key -> store_key, journal, record_begin, record, owned."""
+    schema = pa.schema([("store_key", pa.string()), ("journal", pa.string()), ("record_begin", pa.int64()), ("record", pa.binary()), ("owned", pa.bool_())])
     out: list[tuple] = []
     size = 0
 
@@ -117,32 +128,34 @@ def consolidate(files: DataFrame, out: str, target_bytes: int = 128 << 20, group
     listed = valid.select("file_id", "journal", "begin_offset", (F.col("begin_offset") + F.length("content")).alias("end_offset"), "frag_sum")
     manifest = materialize(listed, "compaction-manifest")
     unique = manifest.groupBy("journal", "begin_offset", "end_offset", "frag_sum").agg(F.min("file_id").alias("file_id"))
-    n_files = manifest.groupBy("journal").agg(F.count("*").alias("n"), F.min("begin_offset").alias("lo"), F.max("end_offset").alias("hi"))
-    k = F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2((F.col("hi").cast("double") - F.col("lo").cast("double")) * F.lit(float(group_files)) / F.col("n") + 1)))).cast("int")
-    unique = unique.join(n_files.select("journal", "n", k.alias("k")), "journal").withColumn("shard", F.expr("shiftright(begin_offset, k)"))
-    owned = running_max_before(unique, "journal", "begin_offset", "end_offset", "before", F.col("shard"))
+    unique = quantile_shards(unique, "journal", "begin_offset", group_files, "part")
+    owned = running_max_before(unique, "journal", "begin_offset", "end_offset", "before", F.col("part"))
     owned = owned.withColumn("own_from", F.greatest("begin_offset", F.coalesce("before", "begin_offset"))).withColumn("owned_bytes", F.greatest(F.lit(0), F.col("end_offset") - F.col("own_from")))
-    # Groups of about group_files files each: hashed, so bounded however the offsets lie.
-    group = F.pmod(F.xxhash64("file_id"), F.ceil(F.col("n") / F.lit(float(group_files))).cast("long"))
-    items = owned.select("journal", group.alias("part"), "file_id", "own_from", "begin_offset", "owned_bytes")
-    packed = materialize(items.groupBy("journal", "part").applyInPandas(_pack(target_bytes), "file_id string, own_from bigint, bin string"), "compaction-bins")
-    assigned = files.join(packed, "file_id").select("journal", "begin_offset", "content", "own_from", "bin")
-    found = assigned.mapInArrow(_records, "bin string, journal string, record_begin bigint, record binary, owned boolean")
+    items = owned.select("journal", "part", "file_id", "own_from", "begin_offset", "owned_bytes")
+    packed = materialize(items.groupBy("journal", "part").applyInPandas(_pack(target_bytes), "file_id string, own_from bigint, journal string, bin string, owned_bytes bigint"), "compaction-bins")
+    bins = packed.groupBy("journal", "bin").agg(F.sum("owned_bytes").alias("bytes"))
+    groups = max(1, -(-bins.count() // group_files))
+    stores = bins.groupBy(F.pmod(F.xxhash64("journal", "bin"), F.lit(groups)).alias("group")).applyInPandas(_share(target_bytes), "journal string, bin string, store_key string")
+    placed = materialize(packed.select("file_id", "own_from", "journal", "bin").join(stores, ["journal", "bin"]).select("file_id", "own_from", "store_key"), "compaction-placed")
+    assigned = files.join(placed, "file_id").select("journal", "begin_offset", "content", "own_from", "store_key")
+    found = assigned.mapInArrow(_records, "store_key string, journal string, record_begin bigint, record binary, owned boolean")
     # What must come out, counted at the source.
     expected = materialize(_sums(found.where("owned")), "compaction-sums")
-    kept = found.where("owned").drop("owned")
-    (kept.repartition(width(spark), "journal", "bin").sortWithinPartitions("journal", "bin", "record_begin").withColumn("store_key", F.concat_ws("-", F.hex(F.xxhash64("journal")), "bin")).drop("bin").write.partitionBy("store_key").parquet(staging))
-    written = spark.read.schema(_RECORDS).parquet(staging)
+    kept = found.where("owned").drop("owned").repartition(width(spark), "store_key").sortWithinPartitions("store_key", "journal", "record_begin")
+    kept.write.partitionBy("store_key").parquet(staging)
     # Starts that lie in another file's range and were not found there: none if files agree.
-    shared = assigned.where("own_from > begin_offset").mapInArrow(_records, "bin string, journal string, record_begin bigint, record binary, owned boolean").where("not owned")
+    shared = assigned.where("own_from > begin_offset").mapInArrow(_records, "store_key string, journal string, record_begin bigint, record binary, owned boolean").where("not owned")
     inner = shared.groupBy("journal", "record_begin").agg(F.min("record").alias("record"))
+    written = spark.read.schema(_RECORDS).parquet(staging).select("journal", "record_begin")
     missed = materialize(inner.join(written, ["journal", "record_begin"], "left_anti").select("journal", "record_begin", "record"), "compaction-missed")
     if missed.take(1):
-        missed.repartition("journal").sortWithinPartitions("journal", "record_begin").withColumn("store_key", F.lit("supplement")).write.mode("append").partitionBy("store_key").parquet(staging)
-        expected = _sums(found.where("owned").select("journal", "record_begin", "record").unionByName(missed))
-    written = spark.read.schema(_RECORDS).parquet(staging)
-    got = _sums(written)
-    if expected.exceptAll(got).take(1) or got.exceptAll(expected).take(1):
+        # Spread by stretches of each journal, so that no task writes all of one.
+        spread = quantile_shards(missed, "journal", "record_begin", 100_000, "part").repartition(width(spark), "journal", "part").sortWithinPartitions("journal", "record_begin")
+        spread.drop("part").withColumn("store_key", F.lit("supplement")).write.mode("append").partitionBy("store_key").parquet(staging)
+        expected = expected.unionByName(_sums(missed)).groupBy("journal").agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), F.bit_xor("checksum").alias("checksum"), F.bit_xor("checksum2").alias("checksum2"))
+    got = _sums(spark.read.schema(_RECORDS).parquet(staging)).withColumn("side", F.lit(1))
+    differing = expected.withColumn("side", F.lit(0)).unionByName(got).groupBy("journal", "records", "bytes", "checksum", "checksum2").agg(F.count_distinct("side").alias("sides")).where("sides < 2")
+    if differing.take(1):
         remove(spark, staging)
         raise ValueError("the written files do not hold the records of the manifest; nothing was published")
     rename(spark, staging, out)

@@ -5,27 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import coverage, running_max_before
+from tidemark.operators.intervals import coverage, quantile_shards, running_max_before
 
 
 def valid(df: DataFrame) -> DataFrame:
     return df.where("journal is not null and begin_offset is not null and end_offset > begin_offset")
 
 
-def sharded(df: DataFrame, per_shard: int = 20_000) -> DataFrame:
-    """Adds `shard`, growing with begin_offset: each journal's axis cut by its row count, so that none is sorted in one task."""
-    stats = df.groupBy("journal").agg(F.count("*").alias("n"), F.min("begin_offset").cast("double").alias("lo"), F.max("end_offset").cast("double").alias("hi"))
-    k = F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / F.lit(per_shard)) + 1)))).cast("int")
-    return df.join(stats.select("journal", k.alias("_k")), "journal").withColumn("shard", F.expr("shiftright(begin_offset, _k)")).drop("_k")
-
-
 def cover_set(df: DataFrame) -> DataFrame:
     """Fragments that lie in no other fragment of their journal; of equal ones one is kept. Adds own_from.
 
     A survivor owns the bytes [own_from, end_offset): what no fragment before it holds.
     """
     one = valid(df).dropDuplicates(["journal", "begin_offset", "end_offset"])
-    before = running_max_before(sharded(one), "journal", "begin_offset", "end_offset", "_before", F.col("shard"))
+    before = running_max_before(quantile_shards(one, "journal", "begin_offset"), "journal", "begin_offset", "end_offset", "_before", F.col("shard"))
     kept = before.where(F.col("end_offset") > F.coalesce("_before", F.lit(-(2**63))))
     return kept.withColumn("own_from", F.greatest("begin_offset", F.coalesce("_before", "begin_offset"))).drop("_before", "shard")
 
@@ -40,9 +33,7 @@ def _reach(rows: DataFrame, spans: DataFrame, position: Column) -> DataFrame:
     left = rows.select("journal", position.alias("_p"), F.struct(*rows.columns).alias("_row"))
     none = F.lit(None)
     both = left.withColumn("_e", none.cast("long")).unionByName(spans.select("journal", F.col("b").alias("_p"), none.cast(left.schema["_row"].dataType).alias("_row"), F.col("e").alias("_e")))
-    stats = both.groupBy("journal").agg(F.count("*").alias("n"), F.min("_p").cast("double").alias("lo"), F.max("_p").cast("double").alias("hi"))
-    k = F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / F.lit(20_000)) + 1)))).cast("int")
-    d = both.join(stats.select("journal", k.alias("_k")), "journal").withColumn("_s", F.expr("shiftright(_p, _k)"))
+    d = quantile_shards(both, "journal", "_p", name="_s")
     upto = Window.partitionBy("journal", "_s").orderBy("_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     carry = d.groupBy("journal", "_s").agg(F.max("_e").alias("_m"))
     carry = carry.withColumn("_c", F.max("_m").over(Window.partitionBy("journal").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")

@@ -2,10 +2,10 @@
 
 Two levels, so that an entity with a third of all rows is never merged in one task:
 
-1. each entity's axis is cut into shards of a power-of-two width, chosen from its row count and
-   extent; intervals are clipped to the first and last shard they touch and merged within each
-   shard. The shards between (covered whole) are kept as one row per first such shard, whatever
-   the number of intervals;
+1. each entity's axis is cut into shards at quantiles of its intervals' beginnings, so that shards
+   hold like numbers of rows however the offsets lie; intervals are clipped to the first and last
+   shard they touch and merged within each shard. The shards between (covered whole) are kept as
+   one row per first such shard, whatever the number of intervals;
 2. only coverage touching a shard boundary, and the whole-shard ranges, are stitched per entity;
    these are as many as shards, not as rows.
 """
@@ -27,8 +27,40 @@ def _islands(df: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by, "_island").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("_island")
 
 
-def _shard(x: Column | str) -> Column:
-    return F.expr(f"shiftright({x}, k)")
+#: Quantiles that are looked up for an entity; it has as many shards at most.
+_QUANTILES = 256
+
+
+def cut_points(df: DataFrame, by: str, at: str, per_shard: int) -> DataFrame:
+    """by, cuts: ascending values of `at` that cut each large group into shards of about per_shard rows, 256 at most.
+
+    Groups of up to per_shard rows are left out, so that there are fewer cuts than rows / per_shard.
+    The quantiles are aggregated on the map side.
+    """
+    q = df.where(F.col(by).isNotNull() & F.col(at).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"), F.percentile_approx(at, [i / _QUANTILES for i in range(1, _QUANTILES)], 4000).alias("_q"))
+    shards = F.least(F.lit(_QUANTILES), F.ceil(F.col("_n") / F.lit(per_shard))).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), shards - 1), lambda i: F.element_at("_q", F.ceil(i * _QUANTILES / shards).cast("int")))
+    return q.where(F.col("_n") > per_shard).select(by, F.array_distinct(picked).alias("cuts"))
+
+
+def _number(cuts: Column | str, at: Column | str) -> Column:
+    """How many cuts are at or below a value, by bisection; none where there are no cuts."""
+    cuts, at = (F.col(c) if isinstance(c, str) else c for c in (cuts, at))
+    steps = F.array(*[F.lit(_QUANTILES >> i) for i in range(_QUANTILES.bit_length())])
+    beyond = lambda n: (n <= F.size(cuts)) & (F.try_element_at(cuts, n) <= at)
+    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), lambda n, step: F.when(beyond(n + step), n + step).otherwise(n)))
+
+
+def _with_cuts(df: DataFrame, cuts: DataFrame, by: str, broadcast_cuts: int = 50_000) -> DataFrame:
+    """Adds cuts. They are sent to all tasks if at most broadcast_cuts values are counted in them; else Spark decides."""
+    total = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    return df.join(F.broadcast(cuts) if total <= broadcast_cuts else cuts, by, "left")
+
+
+def quantile_shards(df: DataFrame, by: str, at: str, per_shard: int = 20_000, name: str = "shard") -> DataFrame:
+    """Adds `name`, a number that grows with `at` and is shared by about per_shard rows of the group, wherever their values lie."""
+    cuts = materialize(cut_points(df, by, at, per_shard), "shard-cuts")
+    return _with_cuts(df, cuts, by).withColumn(name, _number("cuts", at)).drop("cuts")
 
 
 def coverage(df: DataFrame, entity: str, begin: str, end: str, rows_per_shard: int = 20_000) -> DataFrame:
@@ -41,31 +73,28 @@ def coverage(df: DataFrame, entity: str, begin: str, end: str, rows_per_shard: i
     rows = df.select(F.col(entity).alias("j"), F.col(begin).cast("long").alias("b"), F.col(end).cast("long").alias("e")).where("j is not null and b is not null and e is not null and e > b")
     # Repeated and same-start rows go on the map side.
     rows = rows.groupBy("j", "b").agg(F.max("e").alias("e"))
-    stats = rows.groupBy("j").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("e").alias("hi"))
-    shards = F.ceil(F.col("n") / F.lit(rows_per_shard))
-    extent = F.col("hi").cast("double") - F.col("lo").cast("double")
     # Both are read again below: written once, the input is scanned and shuffled once.
-    stats = materialize(stats.select("j", F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(extent / shards + 1)))).cast("int").alias("k")), "coverage-widths")
-    cut = materialize(rows.join(stats, "j").withColumns({"s1": _shard("b"), "s2": _shard("e - 1")}), "coverage-cut")
-    inner = F.array(F.struct(F.col("s1").alias("s"), F.col("b"), F.col("e")))
-    parts = F.when(F.col("s1") == F.col("s2"), inner).otherwise(
-        F.array(
-            F.struct(F.col("s1").alias("s"), F.col("b"), F.expr("shiftleft(s1 + 1, k)").alias("e")),
-            F.struct(F.col("s2").alias("s"), F.expr("shiftleft(s2, k)").alias("b"), F.col("e")),
-        )
-    )
-    pieces = cut.select("j", "k", F.inline(parts)).groupBy("j", "k", "s", "b").agg(F.max("e").alias("e"))
-    local = materialize(_islands(pieces, ["j", "k", "s"]).select("j", "k", "s", "b", "e"), "coverage-local")
+    cuts = materialize(cut_points(rows, "j", "b", rows_per_shard), "coverage-cuts")
+    numbered = _with_cuts(rows, cuts, "j").withColumns({"s1": _number("cuts", "b"), "s2": _number("cuts", F.col("e") - 1)})
+    # Shard s is [lo, hi): from the s-th cut, if there is one, to the next.
+    bound = lambda n: F.try_element_at("cuts", F.when(n > 0, n))
+    numbered = numbered.withColumns({"lo1": bound(F.col("s1")), "hi1": bound(F.col("s1") + 1), "lo2": bound(F.col("s2")), "hi2": bound(F.col("s2") + 1)}).drop("cuts")
+    cut = materialize(numbered, "coverage-cut")
+    piece = lambda s, b, e, lo, hi: F.struct(F.col(s).alias("s"), F.col(b).alias("b"), F.col(e).alias("e"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    parts = F.when(F.col("s1") == F.col("s2"), F.array(piece("s1", "b", "e", "lo1", "hi1"))).otherwise(F.array(piece("s1", "b", "hi1", "lo1", "hi1"), piece("s2", "lo2", "e", "lo2", "hi2")))
+    pieces = cut.select("j", F.inline(parts)).groupBy("j", "s", "b", "lo", "hi").agg(F.max("e").alias("e"))
+    touching = F.coalesce(F.col("b") == F.col("lo"), F.lit(False)) | F.coalesce(F.col("e") == F.col("hi"), F.lit(False))
+    local = materialize(_islands(pieces, ["j", "s", "lo", "hi"]).select("j", "s", "b", "e", touching.alias("touching")), "coverage-local")
     # Shards covered whole by one interval: the furthest for each first shard is enough.
-    whole = cut.where("s2 - s1 >= 2").groupBy("j", "k", "s1").agg(F.max("s2").alias("s2"))
-    whole = _islands(whole.select("j", "k", F.expr("s1 + 1").alias("b"), F.col("s2").alias("e")), ["j", "k"])
-    whole = materialize(whole.select("j", "k", "b", "e"), "coverage-whole")
-    touching = F.expr("b = shiftleft(s, k) or e - 1 = shiftleft(s, k) + (shiftleft(1L, k) - 1)")
-    edge = local.where(touching).select("j", "b", "e").unionByName(whole.select("j", F.expr("shiftleft(b, k)").alias("b"), F.expr("shiftleft(e, k)").alias("e")))
+    whole = cut.where("s2 - s1 >= 2").groupBy("j", "s1").agg(F.max("s2").alias("s2"), F.max("lo2").alias("lo2"), F.min("hi1").alias("hi1"))
+    whole = whole.select("j", (F.col("s1") + 1).alias("b"), F.col("s2").alias("e"), F.col("hi1").alias("from"), F.col("lo2").alias("upto"))
+    whole = materialize(_islands(whole.select("j", "b", "e"), ["j"]).join(whole.groupBy("j", "b").agg(F.min("from").alias("from")), ["j", "b"]).join(whole.groupBy("j", "e").agg(F.max("upto").alias("upto")), ["j", "e"]), "coverage-whole")
+    edge = local.where("touching").select("j", "b", "e").unionByName(whole.select("j", F.col("from").alias("b"), F.col("upto").alias("e")))
     stitched = _islands(edge, ["j"])
-    covered = whole.select("j", F.explode(F.sequence("b", F.expr("e - 1"))).alias("s"))
-    free = local.where(~touching).join(covered, ["j", "s"], "left_anti").select("j", "b", "e")
-    spans = materialize(stitched.select("j", "b", "e").unionByName(free).join(stats, "j").select("j", "b", "e", _shard("b").alias("s")), "coverage-spans")
+    covered = whole.select("j", F.explode(F.sequence("b", F.col("e") - 1)).alias("s"))
+    free = local.where("not touching").join(covered, ["j", "s"], "left_anti").select("j", "b", "e", "s")
+    stitched = _with_cuts(stitched.select("j", "b", "e"), cuts, "j").select("j", "b", "e", _number("cuts", "b").alias("s"))
+    spans = materialize(stitched.unionByName(free), "coverage-spans")
     # Gap before each span: its neighbour is in the same shard, or the last span of an earlier one.
     within = Window.partitionBy("j", "s").orderBy("b")
     ends = spans.groupBy("j", "s").agg(F.max("e").alias("last_end"), F.min("b").alias("b"))

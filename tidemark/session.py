@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +27,42 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
 
-    Only where it is unset (tests, one machine) a temporary folder is made, and kept for the session.
+    Only on one machine (master local) and where it is unset a temporary folder is made, and kept
+    for the session. On a cluster a machine's own folder would hold a part of each table only, so
+    that an unset name is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.dir", named)
     return named.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables that operators made within it: write their results inside."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
