@@ -35,6 +35,19 @@ def test_rows_and_extra_columns_stay(spark):
     assert sorted(r[0] for r in got.collect()) == [2, 5, 6, 7, 8, 9, 11]
 
 
+def test_negative_ids_need_the_unpacked_order(spark):
+    df = spark.createDataFrame([(-1, "a", 1, 1, 5, ""), (2, "a", 1, 1, 5, "")], SCHEMA)
+    with pytest.raises(Exception, match="packed=False"):
+        surplus_copies(df, ["log", "author", "seq_no"], "first_offset", "id").collect()
+    assert [r[0] for r in surplus_copies(df, ["log", "author", "seq_no"], "first_offset", "id", packed=False).collect()] == [2]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_null_offset_comes_after_the_largest(spark, packed):
+    df = spark.createDataFrame([(1, "a", 1, 1, None, ""), (2, "a", 1, 1, 2**63 - 1, "")], SCHEMA)
+    assert [r[0] for r in surplus_copies(df, ["log", "author", "seq_no"], "first_offset", "id", packed).collect()] == [1]
+
+
 def test_empty(spark):
     assert surplus_copies(spark.createDataFrame([], SCHEMA), ["log", "author", "seq_no"], "first_offset", "id").count() == 0
 

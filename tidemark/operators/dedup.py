@@ -13,11 +13,12 @@ def _packed(first: str, tie: str) -> Column:
 
     A struct is no fixed-width aggregation buffer and would make Spark sort before aggregating; a
     decimal lets min_by run as a hash aggregation, on the map side too. |first| <= 2**63 and
-    0 <= tie < 2**63 fit into 38 digits.
+    0 <= tie < 2**63 fit into 38 digits; null counts as 2**63, which no long is.
     """
     two63 = F.lit(Decimal(2**63)).cast("decimal(19,0)")
-    head = (F.coalesce(F.col(first), F.lit(2**63 - 1)).cast("decimal(19,0)") * two63).cast("decimal(38,0)")
-    return (head + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
+    head = (F.coalesce(F.col(first).cast("decimal(19,0)"), two63) * two63).cast("decimal(38,0)")
+    whole = (head + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.when(F.col(tie) >= 0, whole).otherwise(F.raise_error(F.lit("packed order needs ids of 0 or more: pass packed=False")).cast("decimal(38,0)"))
 
 
 def _known(df: DataFrame, key: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def kept_copies(df: DataFrame, key: list[str], first: str, tie: str, packed: boo
     """One row per identifier: its columns and `kept`, the `tie` value of the copy to keep.
 
     Rows with a null in any identifier column identify nothing and are left out. A null `first`
-    comes after all others. `tie` is unique and not null; `packed` needs it to be >= 0, with
+    comes after all others. `tie` is unique and not null; `packed` raises unless it is >= 0, with
     packed=False any value is allowed and the aggregation sorts instead of hashing.
     """
     known = _known(df, key)

@@ -90,14 +90,53 @@ def seq_drop_acks(spark, sf_dir):
     return sequencer.committed(redelivered(spark, sf_dir), drop_acks=True)
 
 
-@query(
-    _MESSAGES
-    + """, p as (select *, lag(flags) over (partition by journal, producer order by begin_offset) as prev from m)
-select journal, producer, begin_offset, case when flags = 0 then 'outside_commit' when flags = 1 and prev = 1 then 'continue_extend_span' when flags = 1 then 'continue_begin_span'
-  when prev = 1 then 'ack_commit' else 'ack_empty' end as outcome from p"""
+def troubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages with repeats of pending and of committed ones, and acknowledgements that lie before what is acknowledged."""
+    m = redelivered(spark, sf_dir)
+    moved = lambda d, by: d.withColumns({"begin_offset": F.col("begin_offset") + by, "end_offset": F.col("end_offset") + by})
+    outside = moved(m.where("flags = 0 and clock % 3 = 0"), 2260)
+    stale = moved(m.where("clock % 13 = 0"), 41).withColumns({"flags": F.lit(2), "clock": F.greatest(F.lit(1), F.col("clock") - F.col("clock") % 4 * 900)})
+    return m.unionByName(outside).unionByName(stale)
+
+
+_TROUBLED = (
+    _MESSAGES.replace("with m as", "with recursive m0 as")
+    + """, m1 as (select * from m0 union all select journal, producer, begin_offset + 3750, end_offset + 3750, clock, flags, value from m0 where flags = 1 and (clock - 1) % 11 = 0),
+m as (select * from m1 union all select journal, producer, begin_offset + 2260, end_offset + 2260, clock, flags, value from m1 where flags = 0 and clock % 3 = 0
+  union all select journal, producer, begin_offset + 41, end_offset + 41, greatest(1, clock - clock % 4 * 900), 2, value from m1 where clock % 13 = 0),
+q as materialized (select journal, producer, begin_offset, clock, flags, row_number() over (partition by journal, producer order by begin_offset) as n from m),
+run as (
+  select journal, producer, 0::bigint as n, 0::bigint as begin_offset, 0::bigint as clock, 0 as flags, null::bigint as acked, null::bigint as top, false as pending, 0::bigint as span, null::bigint as bound, '' as outcome from (select distinct journal, producer from q)
+  union all
+  select journal, producer, n, begin_offset, clock, flags,
+    case when outcome in ('outside_commit', 'ack_rollback', 'ack_empty', 'ack_commit') then clock else bound end,
+    case when outcome in ('outside_already_acked', 'continue_already_acked', 'continue_clock_larger') then most else clock end,
+    case when outcome in ('continue_begin_span', 'continue_extend_span') then true when outcome in ('outside_commit', 'ack_rollback', 'ack_empty', 'ack_commit') then false else pending end,
+    span + (outcome = 'continue_begin_span')::bigint, bound, outcome
+  from (select *, case when flags = 0 then case when clock <= bound then 'outside_already_acked' else 'outside_commit' end
+                       when flags = 2 then case when clock <= bound then 'ack_rollback' when pending then 'ack_commit' else 'ack_empty' end
+                       when clock <= bound then 'continue_already_acked' when clock <= most then 'continue_clock_larger'
+                       when pending then 'continue_extend_span' else 'continue_begin_span' end as outcome
+        from (select q.*, coalesce(r.acked, q.clock - 1) as bound, coalesce(r.top, q.clock - 1) as most, r.pending, r.span from run r join q on q.journal = r.journal and q.producer = r.producer and q.n = r.n + 1)))
+"""
 )
+
+
+@query(_TROUBLED + "select journal, producer, begin_offset, outcome from run where n > 0")
 def seq_outcomes(spark, sf_dir):
-    return sequencer.outcomes(messages(spark, sf_dir)).select("journal", "producer", "begin_offset", "outcome")
+    """All nine outcomes, against the automaton walked row by row."""
+    return sequencer.outcomes(troubled(spark, sf_dir)).select("journal", "producer", "begin_offset", "outcome")
+
+
+@query(
+    _TROUBLED
+    + """select journal, producer, begin_offset, clock, begin_offset as commit_begin from run where n > 0 and outcome in ('outside_commit', 'ack_empty', 'ack_commit')
+union all
+select p.journal, p.producer, p.begin_offset, p.clock, a.begin_offset from run p join run a on a.journal = p.journal and a.producer = p.producer and a.span = p.span and a.outcome = 'ack_commit' and a.n > p.n
+where p.outcome in ('continue_begin_span', 'continue_extend_span') and p.clock > a.bound and p.clock <= a.clock"""
+)
+def seq_committed_troubled(spark, sf_dir):
+    return sequencer.committed(troubled(spark, sf_dir)).select("journal", "producer", "begin_offset", "clock", "commit_begin")
 
 
 _STATES = (
@@ -346,7 +385,18 @@ def fragment_sums(spark, sf_dir):
     return f.groupBy("journal", F.lit("file").alias("kind")).agg(F.count("*").alias("n_files"), F.count_if(ok).alias("n_valid"), F.sum(F.length("content")).alias("n_bytes"))
 
 
-@query()
+def _crc_sql(rows: str, poly: int, mask: int, name: str) -> str:
+    """Common table expressions: {name}_table by the rule of the reflected polynomial, and {name} (id, crc) of rows (id, data)."""
+    table_ = f"{name}_table as (select list(v order by n) as t from (select n, list_reduce(list_prepend(n::ubigint, range(8)::ubigint[]), lambda c, i: case when c & 1 = 1 then xor(c >> 1, {poly}::ubigint) else c >> 1 end) as v from range(256) x(n)))"
+    byte = "('0x' || substr(h, 2 * i + 1, 2))::ubigint"
+    fold = f"list_reduce(list_prepend({mask}::ubigint, list_transform(range(strlen(h) // 2), lambda i: {byte})), lambda c, b: xor(t[(xor(c, b) & 255)::bigint + 1], c >> 8))"
+    return f"{table_}, {name} as (select id, xor({fold}, {mask}::ubigint) as crc from (select id, hex(data) as h from {rows}), {name}_table)"
+
+
+_SUMS = f"with files as (select row_number() over () as id, journal, begin_offset, end_offset, content as data from fragment_files), {_crc_sql('files', 0xC96C5795D7870F42, 2**64 - 1, 'c64')}, {_crc_sql('files', 0x82F63B78, 2**32 - 1, 'c32')}"
+
+
+@query(f"{_SUMS} select journal, begin_offset, end_offset, case when data is not null then printf('%08x%08x', (c64.crc >> 32)::bigint, (c64.crc & 4294967295)::bigint) end as crc64, case when data is not null then c32.crc::bigint end as crc32c from files join c64 using (id) join c32 using (id)")
 def fragment_checksums(spark, sf_dir):
     """CRC-64 and CRC-32C of each file."""
     return table(spark, sf_dir, "fragment_files").select("journal", "begin_offset", "end_offset", crc64("content").alias("crc64"), crc32c("content").alias("crc32c"))
@@ -372,12 +422,13 @@ def read_lag(spark, sf_dir):
 
 
 @query(
-    f"""with {_VALID}, d as (select distinct journal, begin_offset, end_offset from f where store is not null or begin_offset % 2 = 0),
+    f"""with {_VALID}, d as (select distinct journal, begin_offset, end_offset from f),
 m as (select *, max(end_offset) over (partition by journal order by begin_offset, end_offset desc rows between unbounded preceding and 1 preceding) as prev from d) select journal, begin_offset, end_offset from m where prev is null or end_offset > prev"""
 )
 def merge_remote(spark, sf_dir):
+    """The listing of the stores merged with fragments that are not persisted yet."""
     f = table(spark, sf_dir, "fragments")
-    return fragments.merge_remote(f.where("store is null and begin_offset % 2 = 0"), f.where("store is not null")).select("journal", "begin_offset", "end_offset")
+    return fragments.merge_remote(f.where("store is null"), f.where("store is not null")).select("journal", "begin_offset", "end_offset")
 
 
 @query("select distinct journal, split_part(journal || ';meta', ';', 1) as stripped, ';meta' as meta, replace(journal, 'tiny-', '') as rewritten, true as valid from fragments where journal is not null")
@@ -447,23 +498,32 @@ def bike_keep_last_n(spark, sf_dir):
 
 
 @query(
-    f"""with recursive {_RIDES}, terminus as (select bike_id, 0::bigint as ind, end_time as ts, end_id as id, end_id as stop from rides where ind = 1),
-path as (select * from terminus union all
-  select p.bike_id, p.ind, p.start_time, p.start_id, n.stop from rides p join path n on p.bike_id = n.bike_id and p.ind = n.ind + 1 and p.end_id = n.id and (p.ind = 1 or p.end_id <> n.stop)),
-c as (select *, count(*) over (partition by bike_id) - 1 as path_length, sum(case when id = stop then 1 else 0 end) over (partition by bike_id) as visits from path)
-select bike_id, string_agg(id::varchar, '>' order by ind desc) as stations, min(ts) as first_ts, max(ts) as last_ts from c where visits = 2 and path_length > 2 group by bike_id"""
+    f"""with {_RIDES},
+walks as (select bike_id, list({{'began': start_time, 'ended': end_time, 'a': start_id, 'z': end_id}} order by start_time desc, uuid desc) as w from rides group by bike_id),
+cuts as (select bike_id, w, list_filter(range(2, len(w) + 1), lambda i: w[i].z <> w[i - 1].a or w[i].z = w[1].z) as stops from walks),
+legs as (select bike_id, w[1].z as home, w[1].ended as last_ts, w[:coalesce(stops[1] - 1, len(w))] as w from cuts)
+select bike_id, array_to_string(list_append(list_reverse(list_transform(w, lambda x: x.a)), home), '>') as stations, w[len(w)].began as first_ts, last_ts
+from legs where len(w) > 2 and len(list_filter(w, lambda x: x.a = home)) = 1"""
 )
 def bike_cycles(spark, sf_dir):
     c = apps.bike_cycles(rides(spark, sf_dir), 20, 2)
     return c.select("bike_id", F.array_join(F.transform("steps", lambda s: s["station"].cast("string")), ">").alias("stations"), F.element_at("steps", 1)["ts"].alias("first_ts"), F.element_at("steps", -1)["ts"].alias("last_ts"))
 
 
-@query()
+_CHUNKS = """with n as (select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as seq_no, l_partkey || '|' || l_suppkey || '|' || l_linenumber as data from lineitem),
+kept as (select * from n where id % 7 <> 0 or seq_no <> 2),
+files as (select id, string_agg(data, '' order by seq_no)::blob as data, max(seq_no) + (id % 5 <> 0)::int as seq_no, max(seq_no) > count(*) as torn from kept group by id)"""
+
+
+@query(f"{_CHUNKS}, {_crc_sql('files', 0xC96C5795D7870F42, 2**64 - 1, 'c64')} select id, seq_no::bigint as seq_no, printf('%08x%08x', (crc >> 32)::bigint, (crc & 4294967295)::bigint) as value, case when torn then 'out of order' when id % 5 = 0 then 'incomplete' else 'complete' end as state from files join c64 using (id)")
 def stream_sums(spark, sf_dir):
-    """The lines of each order as chunks of a stream, ended by an empty chunk; CRC-64 in order."""
-    li = table(spark, sf_dir, "lineitem")
-    chunks = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("seq_no"), F.concat_ws("|", "l_partkey", "l_suppkey", "l_shipdate").cast("binary").alias("data"))
-    ends = li.groupBy(F.col("l_orderkey").alias("id")).agg((F.max("l_linenumber") + 1).cast("long").alias("seq_no")).withColumn("data", F.lit(b""))
+    """The lines of each order as chunks of a stream, ended by an empty chunk; CRC-64 in order. Some lack a chunk, some their end."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").withColumn("seq_no", F.row_number().over(w).cast("long")).where("l_orderkey % 7 <> 0 or seq_no <> 2")
+    chunks = li.select(F.col("l_orderkey").alias("id"), "seq_no", F.concat_ws("|", "l_partkey", "l_suppkey", "l_linenumber").cast("binary").alias("data"))
+    ends = chunks.where("id % 5 <> 0").groupBy("id").agg((F.max("seq_no") + 1).alias("seq_no")).withColumn("data", F.lit(b""))
     return apps.stream_sums(chunks.unionByName(ends))
 
 
