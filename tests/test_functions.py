@@ -163,3 +163,19 @@ def test_ngrams(spark):
     assert len(grams[0]) == 17
     assert [grams[0].count(g) for g in ("START how", "wood chuck", "chuck chuck", "a wood", "wood END", "wood would", "END END")] == [1, 2, 1, 2, 1, 1, 1]
     assert grams[1] == grams[3] == ["START END", "END END"] and grams[2] is None
+
+
+def test_long_checksums_against_byte_by_byte():
+    import random
+
+    from tidemark.functions import checksums as ck
+
+    rnd = random.Random(2)
+    for n in (1024, 1025, 4096, 5000, 70_001):
+        data = rnd.randbytes(n)
+        for update, start in ((ck.crc64_update, rnd.getrandbits(64)), (ck.crc32c_update, rnd.getrandbits(32)), (ck.crc64_update, 0)):
+            slow = start
+            for at in range(0, n, 1000):  # pieces below the size from which the wide way is taken
+                slow = update(slow, data[at : at + 1000])
+            assert update(start, data) == slow
+    assert ck.crc32c_update(0, b"123456789") == 0xE3069283

@@ -153,3 +153,111 @@ def test_stream_resumes_where_it_stopped(spark, store, tmp_path):
     assert drain() == [(0, b"x")]
     put(store, "a/two", 2, b"y\nz\n")
     assert drain() == [(0, b"x"), (2, b"y"), (4, b"z")]
+
+
+def test_filter_and_option_are_intersected(spark, store):
+    journal.register(spark)
+    r = lambda **o: spark.read.format("journal").options(path=store, **o).load()
+    assert r(journal="a/one").where("journal = 'a/two'").count() == 0
+    assert r(journals="a/one,a/two").where("journal = 'a/two'").count() == 1
+    assert r(journals="a/one").where("journal = 'a/two'").count() == 0
+    assert r(prefix="a/o").where("journal = 'a/two'").count() == 0
+    assert r(journal="a/two").where("journal = 'a/two'").count() == 1
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    at = 0
+    for i in range(20):
+        at = put(str(tmp_path), "j", at, b"%d\n" % i * 10)
+    journal.register(spark)
+    df = spark.read.format("journal").options(path=str(tmp_path), partitionBytes=100).load()
+    assert df.count() == 200 and 4 <= df.rdd.getNumPartitions() <= 10
+    assert spark.read.format("journal").options(path=str(tmp_path)).load().rdd.getNumPartitions() == 1
+
+
+def _writer(root, rows, **options):
+    from pyspark.sql.types import StructType
+
+    w = journal.JournalWriter(journal._Options({"path": str(root), **options}), StructType.fromDDL("journal string, payload binary"))
+    row = type("Row", (), {})
+    made = []
+    for j, p in rows:
+        r = row()
+        r.journal, r.payload = j, p
+        made.append(r)
+    return w, [w.write(iter(made))]
+
+
+def heads(root):
+    return {f.journal: f.end for f in sorted(journal.list_fragments([str(root)]), key=lambda f: f.end)}
+
+
+ROWS = [("a", b"one"), ("b", b"two"), ("a", b"three")]
+
+
+@pytest.mark.parametrize("crash_at", range(6))
+def test_a_crash_anywhere_publishes_nothing_or_all(tmp_path, monkeypatch, crash_at):
+    """The writer dies at its nth change to the store: what readers see is the state before or after, for all journals."""
+    first, spooled = _writer(tmp_path, ROWS)
+    first.commit(spooled)
+    before = heads(tmp_path)
+    w, spooled = _writer(tmp_path, ROWS)
+    real, left = journal.filesystem, [crash_at]
+
+    class Dying:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            if name in ("move", "delete_file"):
+                if left[0] <= 0:
+                    raise SystemExit
+                left[0] -= 1
+            return getattr(self.store, name)
+
+    monkeypatch.setattr(journal, "filesystem", lambda root: (Dying(real(root)[0]), real(root)[1]))
+    with pytest.raises(SystemExit):
+        w.commit(spooled)
+        raise SystemExit
+    monkeypatch.setattr(journal, "filesystem", real)
+    after = heads(tmp_path)
+    assert after in (before, {j: 2 * n for j, n in before.items()})
+    assert (after != before) == (crash_at >= 4)  # intent moved, two files moved, intent deleted
+    journal.recover(str(tmp_path), older_than=0)
+    assert heads(tmp_path) == after and not list((tmp_path / ".intents").glob("*"))
+    again, spooled = _writer(tmp_path, ROWS)
+    again.commit(spooled)
+    assert heads(tmp_path) == {j: after[j] + before[j] for j in before}
+
+
+def test_of_two_writers_at_one_offset_one_goes_on(tmp_path, monkeypatch):
+    """The other one commits between this one's look at the end and its claim, or claims at the same time."""
+    a, of_a = _writer(tmp_path, ROWS)
+    b, of_b = _writer(tmp_path, ROWS)
+    real = a._heads
+    calls = []
+
+    def meanwhile(names):
+        out = real(names)
+        if not calls:
+            calls.append(1)
+            b.commit(of_b)
+        return out
+
+    monkeypatch.setattr(a, "_heads", meanwhile)
+    with pytest.raises(journal.WrongAppendOffset):
+        a.commit(of_a)
+    assert heads(tmp_path) == {"a": 10, "b": 4}
+    c, of_c = _writer(tmp_path, ROWS)
+    (tmp_path / ".claims" / "a").mkdir(parents=True, exist_ok=True)
+    (tmp_path / ".claims" / "a" / f"{10:016x}.other").touch()
+    with pytest.raises(journal.WrongAppendOffset, match="another writer"):
+        c.commit(of_c)
+    assert heads(tmp_path) == {"a": 10, "b": 4} and not [d for d in os.listdir(tmp_path) if d.startswith(".spool")]
+
+
+def test_writers_hold_a_bounded_buffer(tmp_path):
+    w, spooled = _writer(tmp_path, [(f"j{i % 50}", b"x" * 99) for i in range(1000)], maxFileBytes="5000")
+    w.commit(spooled)
+    got = heads(tmp_path)
+    assert set(got.values()) == {2000} and len(got) == 50
