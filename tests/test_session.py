@@ -46,3 +46,13 @@ def test_scratch_deletes_what_was_made_within(spark):
             paths = [f.removeprefix("file://").rsplit("/", 1)[0] for f in (*df.inputFiles(), *inner.inputFiles())]
         assert df.count() == 3 and [os.path.exists(p) for p in paths][-1] is False
     assert not [p for p in paths if os.path.exists(p)] and spark.read.parquet(kept).count() == 1
+
+
+def test_compare_and_swap(spark, tmp_path):
+    a, b = (session.Versions(spark, f"file://{tmp_path}/x") for _ in range(2))
+    assert a.read() == (0, None)
+    assert a.replace(0, "one") and not b.replace(0, "other")
+    assert b.read() == (1, "one") and b.replace(1, "two") and not a.replace(1, "late")
+    for i in range(2, 30):
+        assert a.replace(i, str(i))
+    assert a.read() == (30, "29") and len(a._numbers()) == session.Versions.KEPT

@@ -62,9 +62,42 @@ def test_failed_batch_is_repeated_without_effect_twice(spark, tmp_path):
     stream = spark.readStream.schema("k bigint, seq bigint").parquet(src)
     with pytest.raises(Exception, match="after the commit"):
         consumer.run_consumer(stream, "q1", check, txn).awaitTermination()
-    version = t._head()["version"]
+    version = t._head()
     q = consumer.run_consumer(stream, "q1", check, txn)
     q.awaitTermination()
-    assert t._head()["version"] == version
+    assert t._head() == version
     assert sorted(map(tuple, t.live().collect())) == [(0, 9), (1, 7), (2, 8)]
     assert consumer.progress(q)["last_batch"] >= 0
+
+
+def test_only_touched_buckets_are_rewritten_and_old_ones_deleted(spark, tmp_path):
+    t = consumer.KeyedTable(spark, f"file://{tmp_path}/t", ["k"], "seq", buckets=8)
+    owner = t.take_over()
+    row = lambda *r: spark.createDataFrame(list(r), "k bigint, seq bigint")
+    t.commit(owner, "q", 0, row(*[(k, 1) for k in range(40)]))
+    before = t._head()[1]["folders"]
+    t.commit(owner, "q", 1, row((3, 2)))
+    after = t._head()[1]["folders"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    t.commit(owner, "q", 2, row((3, 3), (77, 1)))
+    kept = set(t._head()[1]["folders"].values()) | set(t._head()[1]["stale"])
+    have = {str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").glob("v*/_bucket=*")}
+    assert have == kept
+    assert sorted(map(tuple, t.live().select("k", "seq").collect())) == sorted([(k, 3 if k == 3 else 1) for k in range(40)] + [(77, 1)])
+
+
+def test_a_writer_fenced_off_during_its_commit_publishes_nothing(spark, tmp_path, monkeypatch):
+    t = consumer.KeyedTable(spark, f"file://{tmp_path}/t", ["k"], "seq")
+    first = t.take_over()
+    rows = spark.createDataFrame([("a", 1)], "k string, seq bigint")
+    real = t._heads.replace
+
+    def late(seen, text):
+        monkeypatch.setattr(t._heads, "replace", real)
+        t.take_over()
+        return real(seen, text)
+
+    monkeypatch.setattr(t._heads, "replace", late)
+    with pytest.raises(consumer.FencedError):
+        t.commit(first, "q", 0, rows)
+    assert t.live() is None and not list((tmp_path / "t").glob("v*"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,33 +95,63 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot publish {source} as {target}")
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file's text, or None if there is no such file."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file in one step: readers see the old or the new text, never half of it."""
-    sc = spark.sparkContext
-    fs_pkg = sc._jvm.org.apache.hadoop.fs
-    conf = sc._jsc.hadoopConfiguration()
-    target, temp = fs_pkg.Path(path), fs_pkg.Path(f"{path}.{uuid.uuid4().hex}")
-    fs = target.getFileSystem(conf)
-    stream = fs.create(temp, True)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-    option = sc._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
-    options = sc._gateway.new_array(getattr(fs_pkg, "Options$Rename"), 1)
-    options[0] = next(o for o in option if o.name() == "OVERWRITE")
-    fs_pkg.FileContext.getFileContext(target.toUri(), conf).rename(temp, target, options)
+class Versions:
+    """A small text that writers replace by compare-and-swap: each version is a file of its own, created only if it is not there yet."""
+
+    KEPT = 10
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._fs = jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.folder = self._fs.Path(self.path + ".versions")
+        self.fs = self.folder.getFileSystem(self._conf)
+
+    def _numbers(self) -> list[int]:
+        if not self.fs.exists(self.folder):
+            return []
+        return sorted(int(s.getPath().getName()) for s in self.fs.listStatus(self.folder) if s.getPath().getName().isdigit())
+
+    def read(self) -> tuple[int, str | None]:
+        """Number and text of the newest version; (0, None) if there is none."""
+        n = max(self._numbers(), default=0)
+        if not n:
+            return 0, None
+        stream = self.fs.open(self._fs.Path(self.folder, f"{n:020d}"))
+        try:
+            return n, bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def replace(self, seen: int, text: str) -> bool:
+        """Make text the version after `seen`; False if another writer was first."""
+        self.fs.mkdirs(self.folder)
+        temp, target = self._fs.Path(self.folder, f"_{uuid.uuid4().hex}"), self._fs.Path(self.folder, f"{seen + 1:020d}")
+        stream = self.fs.create(temp, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self.fs.getScheme() == "file":
+            # A rename on a local file system takes what is there for granted; a link does not.
+            try:
+                os.link(temp.toUri().getPath(), target.toUri().getPath())
+                done = True
+            except FileExistsError:
+                done = False
+            self.fs.delete(temp, False)
+        else:
+            try:
+                none = self.spark.sparkContext._gateway.new_array(getattr(self._fs, "Options$Rename"), 0)
+                self._fs.FileContext.getFileContext(target.toUri(), self._conf).rename(temp, target, none)
+                done = True
+            except Exception as e:  # noqa: BLE001 - py4j wraps the one that counts
+                if "FileAlreadyExistsException" not in str(e):
+                    raise
+                self.fs.delete(temp, False)
+                done = False
+        if done:
+            for old in self._numbers()[: -self.KEPT]:
+                self.fs.delete(self._fs.Path(self.folder, f"{old:020d}"), False)
+        return done

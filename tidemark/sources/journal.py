@@ -451,6 +451,10 @@ def manifest(spark: SparkSession, roots: list[str]):
         folders = F.split(rel, "/")
         journal = F.array_join(F.filter(F.slice(folders, F.lit(1), F.size(folders) - 1), lambda p: ~p.contains("=")), "/")
         parsed = files.withColumn("_rel", rel).withColumn("journal", journal).withColumn("_p", parse_content_path(F.substring(F.col("_rel"), F.length("journal") + 2, F.length("_rel"))))
+        store, base = filesystem(root)
+        hidden = [f for names in _intents(store, base).values() for f in names]
+        if hidden:
+            parsed = parsed.where(~F.col("_rel").isin(hidden))
         one = parsed.where("_p is not null").select("journal", "_p.begin_offset", "_p.end_offset", "_p.frag_sum", "_p.codec", F.lit(root).alias("store"), F.unix_timestamp("modificationTime").alias("mod_time"), "_p.path_postfix", "path", "length")
         out = one if out is None else out.unionByName(one)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import uuids
-from tidemark.functions.labels import matches
+from tidemark.functions.labels import LABELS, matches
 from tidemark.operators.sequencer import committed
+from tidemark.session import Versions
 from tidemark.sources import journal as source
 
 #: Schemas by message type, given by the application; nothing is inferred.
@@ -62,30 +64,26 @@ def select_journals(specs: DataFrame, selector: str) -> list[str]:
 
 
 class Registers:
-    """Labels of a journal by which writers fence each other off, kept in one small file."""
+    """Labels of a journal by which writers fence each other off, replaced by compare-and-swap."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self._versions = spark, Versions(spark, path)
 
     def read(self) -> dict[str, str]:
-        import json
-
-        from tidemark.session import read_text
-
-        return json.loads(read_text(self.spark, self.path) or "{}")
+        return json.loads(self._versions.read()[1] or "{}")
 
     def append(self, check: str = "", subtract: Sequence[str] = (), union: dict[str, str] | None = None) -> bool:
-        """Update if the registers match `check` (empty ones match anything): subtract names, then add, new values winning."""
-        import json
-
-        from tidemark.functions.labels import LABELS
-        from tidemark.session import replace_text
-
-        have = self.read()
-        if have and check:
-            row = self.spark.createDataFrame([(sorted(have.items()),)], f"labels {LABELS}")
-            if not row.select(matches("labels", check)).first()[0]:
-                return False
-        kept = {k: v for k, v in have.items() if k not in subtract} | (union or {})
-        replace_text(self.spark, self.path, json.dumps(kept, sort_keys=True))
-        return True
+        """Update if the registers match `check` (empty ones match anything): subtract names, then add, new values winning.
+
+        If another writer changes them between check and update, both are done anew.
+        """
+        while True:
+            seen, text = self._versions.read()
+            have = json.loads(text or "{}")
+            if have and check:
+                row = self.spark.createDataFrame([(sorted(have.items()),)], f"labels {LABELS}")
+                if not row.select(matches("labels", check)).first()[0]:
+                    return False
+            kept = {k: v for k, v in have.items() if k not in subtract} | (union or {})
+            if self._versions.replace(seen, json.dumps(kept, sort_keys=True)):
+                return True

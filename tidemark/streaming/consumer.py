@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemark.operators.sequencer import Automaton
-from tidemark.session import read_text, replace_text
+from tidemark.session import Versions, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,26 +42,26 @@ class SequencerProcessor(StatefulProcessor):
         frame = pd.concat(list(rows), ignore_index=True).sort_values("begin_offset", kind="stable")
         old = self.numbers.get() if self.numbers.exists() else None
         a = Automaton(*old) if old else Automaton()
-        pending = [tuple(p) for p in self.pending.get()] if self.pending.exists() else []
+        added: list[tuple] = []  # pending messages of this batch; those of earlier ones stay in the state until they are settled
         out = []
         for m in zip(frame["begin_offset"], frame["clock"], frame["flags"], frame["payload"], strict=True):
             begin, clock, flags, payload = int(m[0]), int(m[1]), int(m[2]), m[3]
             outcome, low = a.step(clock, flags)
             if outcome.startswith("continue") and outcome.endswith("span"):
-                pending.append((begin, clock, flags, payload))
+                added.append((begin, clock, flags, payload))
             elif outcome in ("outside_commit", "ack_empty", "ack_commit", "ack_rollback"):
                 if outcome == "ack_commit":
-                    out += [(*p, begin) for p in pending if low < p[1] <= clock]
+                    held = [tuple(p) for p in self.pending.get()] if self.pending.exists() else []
+                    out += [(*p, begin) for p in (*held, *added) if low < p[1] <= clock]
                 if clock != 0:
-                    pending = []
+                    self.pending.clear()
+                    added = []
                 if outcome != "ack_rollback":
                     out.append((begin, clock, flags, payload, begin))
         if a.min is not None:
             self.numbers.update((a.min, a.max, a.open))
-        if pending:
-            self.pending.put(pending)
-        else:
-            self.pending.clear()
+        if added:
+            self.pending.appendList(added)
         if out:
             yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["journal", "producer", "begin_offset", "clock", "flags", "payload", "commit_begin"])
 
@@ -82,48 +83,64 @@ def committed_stream(messages: DataFrame) -> DataFrame:
 class KeyedTable:
     """A table of the latest row of each key, written once per transaction, with a fence.
 
-    Each version is a folder of its own; one small file names the current version, the owner and
-    the last batch of each query, and is replaced in one step. Readers see whole versions only.
+    Keys are hashed to buckets, and a transaction rewrites only buckets it touches. A small head names
+    the folder of each bucket, the owner and the last batch of each query; it is replaced by
+    compare-and-swap, so that readers see whole versions only and a writer that was
+    fenced off between its look at the head and its commit cannot publish. Folders no head names
+    any more are deleted one commit later, when readers of the head before are done.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str):
-        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.order, self.buckets = spark, path.rstrip("/"), key, order, buckets
+        self._heads = Versions(spark, f"{self.path}/HEAD")
 
-    def _head(self) -> dict:
-        text = read_text(self.spark, f"{self.path}/HEAD")
-        return json.loads(text) if text else {"version": None, "owner": None, "batches": {}}
-
-    def _publish(self, head: dict) -> None:
-        replace_text(self.spark, f"{self.path}/HEAD", json.dumps(head))
+    def _head(self) -> tuple[int, dict]:
+        n, text = self._heads.read()
+        return n, json.loads(text) if text else {"owner": None, "batches": {}, "folders": {}, "schema": None, "stale": []}
 
     def take_over(self) -> str:
         """Become the owner; whoever was it before can commit no more."""
         owner = uuid.uuid4().hex
-        self._publish(self._head() | {"owner": owner})
-        return owner
+        while True:
+            n, head = self._head()
+            if self._heads.replace(n, json.dumps(head | {"owner": owner})):
+                return owner
+
+    def _read(self, head: dict, buckets: list[int] | None = None) -> DataFrame | None:
+        paths = [f"{self.path}/{head['folders'][b]}" for b in (sorted(head["folders"]) if buckets is None else map(str, buckets)) if b in head["folders"]]
+        return self.spark.read.schema(StructType.fromJson(head["schema"])).parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
-        v = self._head()["version"]
-        return self.spark.read.parquet(f"{self.path}/{v}") if v else None
+        return self._read(self._head()[1])
 
     def commit(self, owner: str, query: str, batch_id: int, rows: DataFrame, deleted: str = "false") -> bool:
         """Upsert rows (the largest `order` of a key wins; rows where `deleted` holds remove it). False if the batch is in already."""
-        head = self._head()
+        seen, head = self._head()
         if head["owner"] != owner:
             raise FencedError(self.path)
         if head["batches"].get(query, -1) >= batch_id:
             return False
         fresh = rows.withColumn("_deleted", F.expr(deleted))
-        old = self.read()
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in fresh.select(bucket.alias("b")).distinct().collect()]
+        old = self._read(head, touched)
         if old is not None:
             fresh = fresh.unionByName(old, allowMissingColumns=True)
         cols = [c for c in fresh.columns if c not in self.key]
         latest = fresh.groupBy(*self.key).agg(F.max_by(F.struct(*cols), self.order).alias("_r")).select(*self.key, "_r.*")
         version = f"v{batch_id}-{uuid.uuid4().hex}"
-        latest.write.parquet(f"{self.path}/{version}")  # deleted keys stay as tombstones: late changes must not bring them back
-        if self._head()["owner"] != owner:
-            raise FencedError(self.path)
-        self._publish(head | {"version": version, "batches": head["batches"] | {query: batch_id}})
+        # Deleted keys stay as tombstones: late changes must not bring them back.
+        latest.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        replaced = [head["folders"][str(b)] for b in touched if str(b) in head["folders"]]
+        folders = head["folders"] | {str(b): f"{version}/_bucket={b}" for b in touched}
+        new = head | {"folders": folders, "batches": head["batches"] | {query: batch_id}, "schema": json.loads(latest.schema.json()), "stale": replaced}
+        if not self._heads.replace(seen, json.dumps(new)):
+            remove(self.spark, f"{self.path}/{version}")
+            if self._head()[1]["owner"] != owner:
+                raise FencedError(self.path)
+            return self.commit(owner, query, batch_id, rows, deleted)  # another query of the same owner came first
+        for folder in head["stale"]:
+            remove(self.spark, f"{self.path}/{folder}")
         return True
 
     def live(self) -> DataFrame | None:
