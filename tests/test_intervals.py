@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidemark.operators.intervals import coverage, quantile_shards, running_max_before
+from tidemark.operators.intervals import coverage, quantile_shards, ranks, running_max_before
 
 SCHEMA = "journal string, b bigint, e bigint, s bigint"
 
@@ -80,3 +80,12 @@ def test_running_max(spark):
         want.append((b, top))
         top = e if top is None else max(top, e)
     assert sorted((r["b"], r["m"]) for r in df.collect()) == want
+
+
+def test_ranks_of_a_hot_group(spark):
+    rows = [(j, b, 0, 0) for j, n in (("hot", 3000), ("b", 5), (None, 7)) for b in range(n)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert all(r.n == r.b + 1 for r in ranks(df, ["journal"], ["b"], "n").collect())
+    assert sorted(r.n for r in ranks(df, [], ["journal", "b"], "n").collect()) == list(range(1, len(rows) + 1))
+    assert ranks(df.limit(0), ["journal"], ["b"], "n").count() == 0

@@ -63,19 +63,35 @@ def query(fragments: DataFrame, requests: DataFrame, now: int | None = None, min
     yet available and the columns are null. Fragments modified before begin_mod_time are skipped,
     local ones (mod_time 0) never. An offset of -1 is the write head.
     """
-    r = requests.select(F.col("journal").alias("_j"), "read_offset", F.coalesce("begin_mod_time", F.lit(0)).alias("begin_mod_time"))
     f = valid(fragments)
     head = f.groupBy("journal").agg(F.max("end_offset").alias("_head"), F.min("begin_offset").alias("_first"))
-    r = r.join(head, F.col("_j") == head.journal, "left").drop("journal").withColumn("at", F.when(F.col("read_offset") == -1, F.col("_head")).otherwise(F.col("read_offset")))
-    j = r.join(f, (f.journal == r._j) & (f.end_offset > r.at) & ((f.mod_time == 0) | (f.mod_time >= r.begin_mod_time)), "left")
-    key = F.when(F.col("begin_offset") <= F.col("at"), F.array(F.lit(0).cast("long"), -F.col("end_offset"), F.col("begin_offset"))).otherwise(F.array(F.lit(1).cast("long"), F.col("begin_offset"), -F.col("end_offset")))
-    key = F.struct(key, "mod_time")
-    best = j.groupBy("_j", "read_offset", "at", "_first", "_head").agg(F.min_by(F.struct("begin_offset", "end_offset", "mod_time"), key).alias("f"))
-    covers = F.col("f.begin_offset") <= F.col("at")
-    old = (F.col("f.mod_time") > 0) & (F.col("f.mod_time") < (F.lit(now) if now is not None else F.unix_timestamp()) - min_age)
-    jump = ~covers & ((F.col("at") <= F.col("_first")) | old)
-    use = covers | jump
-    return best.select(F.col("_j").alias("journal"), "read_offset", F.when(covers, F.col("at")).when(jump, F.col("f.begin_offset")).alias("offset"), F.when(use, F.col("f.begin_offset")).alias("begin_offset"), F.when(use, F.col("f.end_offset")).alias("end_offset"), F.coalesce(jump, F.lit(False)).alias("jumped"), F.col("_head").alias("write_head"))
+    r = requests.select("journal", "read_offset", F.coalesce("begin_mod_time", F.lit(0)).alias("_since")).join(head, "journal", "left")
+    r = r.withColumn("at", F.when(F.col("read_offset") == -1, F.col("_head")).otherwise(F.col("read_offset")))
+    # Requests and the fragments they may use, sorted together within shards: the best fragment at or before
+    # a request's offset, and the next after it, are a running maximum and minimum, carried over between shards.
+    # Fragments are taken once for each bound on modification time that is asked of their journal.
+    since = r.select("journal", "_since").distinct()
+    usable = f.join(since, "journal").where((F.col("mod_time") == 0) | (F.col("mod_time") >= F.col("_since")))
+    group = F.to_json(F.struct("journal", "_since"))
+    none = F.lit(None)
+    best = F.struct(F.col("end_offset").alias("e"), (-F.col("begin_offset")).alias("b"), (-F.col("mod_time")).alias("t"))
+    after = F.struct(F.col("begin_offset").alias("b"), (-F.col("end_offset")).alias("e"), F.col("mod_time").alias("t"))
+    left = usable.select(group.alias("_g"), F.col("begin_offset").alias("_p"), best.alias("_best"), after.alias("_after"))
+    right = r.select(group.alias("_g"), F.col("at").alias("_p"), F.struct(*r.columns).alias("_row"))
+    both = left.withColumn("_row", none.cast(right.schema["_row"].dataType)).unionByName(right.where("_p is not null").withColumns({"_best": none.cast(left.schema["_best"].dataType), "_after": none.cast(left.schema["_after"].dataType)}))
+    d = quantile_shards(both, "_g", "_p", name="_s")
+    here = Window.partitionBy("_g", "_s").orderBy("_p")
+    by_shard = Window.partitionBy("_g").orderBy("_s")
+    carry = d.groupBy("_g", "_s").agg(F.max("_best").alias("_m"), F.min("_after").alias("_n"))
+    carry = carry.select("_g", "_s", F.max("_m").over(by_shard.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_n").over(by_shard.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    seen = d.withColumn("_m", F.max("_best").over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.min("_after").over(here.rangeBetween(1, Window.unboundedFollowing))).where("_row is not null")
+    found = seen.join(carry, ["_g", "_s"]).select("_row.*", F.greatest("_m", "_before").alias("_c"), F.coalesce("_n", "_later").alias("_n"))
+    found = found.unionByName(r.where("at is null").withColumns({"_c": none.cast(left.schema["_best"].dataType), "_n": none.cast(left.schema["_after"].dataType)}))
+    covers = F.coalesce(F.col("_c.e") > F.col("at"), F.lit(False))
+    old = (F.col("_n.t") > 0) & (F.col("_n.t") < (F.lit(now) if now is not None else F.unix_timestamp()) - min_age)
+    jump = F.coalesce(~covers & F.col("_n").isNotNull() & ((F.col("at") <= F.col("_first")) | old), F.lit(False))
+    pick = lambda c, n: F.when(covers, c).when(jump, n)
+    return found.select("journal", "read_offset", pick(F.col("at"), F.col("_n.b")).alias("offset"), pick(-F.col("_c.b"), F.col("_n.b")).alias("begin_offset"), pick(F.col("_c.e"), -F.col("_n.e")).alias("end_offset"), jump.alias("jumped"), F.col("_head").alias("write_head"))
 
 
 def page(fragments: DataFrame, begin_mod_time: int = 0, end_mod_time: int = 0, after: int = 0, limit: int = 1000) -> DataFrame:

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import uuids
 from tidemark.functions.mapping import by_key
+from tidemark.operators.intervals import ranks
 
 
 def attach_uuids(df: DataFrame, producer: str, start_clock: int, order: Sequence[str | Column], flags: int = uuids.OUTSIDE, journal: str | None = "journal") -> DataFrame:
     """Adds clock and uuid; within a journal clocks ascend in `order`, one tick each.
 
     The clock restarts per journal from start_clock, so no global order of all rows is needed; a
-    pair (journal, clock) is unique for the producer.
+    pair (journal, clock) is unique for the producer. A journal with most of the rows is numbered in
+    many tasks.
     """
-    w = Window.partitionBy(*([journal] if journal else [F.lit(0)])).orderBy(*order)
-    clock = F.lit(start_clock) + F.row_number().over(w).cast("long") * uuids.TICK
-    stamped = df.withColumn("clock", clock).withColumn("flags", F.lit(flags))
+    numbered = ranks(df, [journal] if journal else [], list(order), "_rank")
+    stamped = numbered.withColumn("clock", F.lit(start_clock) + F.col("_rank") * uuids.TICK).drop("_rank").withColumn("flags", F.lit(flags))
     return stamped.withColumn("uuid", uuids.build(F.lit(producer), F.col("clock"), F.col("flags")))
 
 

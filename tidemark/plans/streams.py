@@ -147,3 +147,41 @@ def journal_manifest(spark, sf_dir):
     m = source.manifest(spark, [root]).groupBy("journal", "codec", "path_postfix").agg(F.min("begin_offset").alias("first_offset"))
     n = spark.read.format("journal").option("path", root).load().groupBy("journal").agg(F.count("*").alias("records"))
     return m.join(n, "journal")
+
+
+def _messages_written(spark: SparkSession, sf_dir: str) -> str:
+    """The troubled messages as JSON with their UUIDs, appended to journals in their order in two writes."""
+    from tidemark.functions import uuids
+
+    source.register(spark)
+    root = work_path(spark, "message-journals")
+    m = journals.troubled(spark, sf_dir)
+    uuid = uuids.build(F.lpad(F.lower(F.hex(F.col("producer").cast("long"))), 12, "0"), F.col("clock") * 16 + (1 << 40), F.col("flags"))
+    rows = m.select("journal", F.col("begin_offset").alias("place"), F.to_json(F.struct(uuid.alias("uuid"), F.col("begin_offset").alias("place"), "value")).cast("binary").alias("payload"))
+    for half in ("place < 300000", "place >= 300000"):
+        rows.where(half).orderBy("journal", "place").select("journal", "payload").write.format("journal").option("path", root).option("codec", "GZIP").mode("append").save()
+    return root
+
+
+@query(journals._TROUBLED + """select journal, begin_offset as place from run where n > 0 and outcome in ('outside_commit', 'ack_empty', 'ack_commit')
+union all
+select p.journal, p.begin_offset from run p join run a on a.journal = p.journal and a.producer = p.producer and a.span = p.span and a.outcome = 'ack_commit' and a.n > p.n
+where p.outcome in ('continue_begin_span', 'continue_extend_span') and p.clock > a.bound and p.clock <= a.clock""")
+def journal_read_committed(spark, sf_dir):
+    """Messages written to journals, with repeats and rollbacks, and read back committed."""
+    from tidemark.sources.messages import read_committed
+
+    return read_committed(spark, _messages_written(spark, sf_dir), "uuid string, place bigint, value double").select("journal", "place")
+
+
+@query(journals._TROUBLED + "select journal, begin_offset as place, flags from q where journal in ('events/part-001', 'events/part-004')")
+def journal_read_uncommitted(spark, sf_dir):
+    """All envelopes of two journals, those that a selector finds in a catalog."""
+    from tidemark.functions import uuids
+    from tidemark.functions.labels import label, label_set
+    from tidemark.sources.messages import read_uncommitted, select_journals
+
+    specs = spark.range(8).select(F.format_string("events/part-%03d", "id").alias("name"), label_set(label("app", F.lit("events")), label("parity", (F.col("id") % 3).cast("string"))).alias("labels"))
+    chosen = select_journals(specs.where("id in (1, 2, 4)"), "app=events, parity in (1)")
+    env = read_uncommitted(spark, _messages_written(spark, sf_dir), "uuid string, place bigint", chosen)
+    return env.select("journal", "place", uuids.flags("uuid").alias("flags"))
