@@ -18,9 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import coverage
 from tidemark.session import materialize, rename, width, work_path
 
 #: Kinds of a change: what a path's row becomes.
@@ -95,6 +96,9 @@ def _entries(shard_bits: int):
             for seq, checksum, replay in starts:
                 while checksum is not None:
                     out.append((log, seq >> shard_bits, seq, checksum, replay))
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                        out = []
                     checksum = exits.get((seq, checksum))
                     seq = ((seq >> shard_bits) + 1) << shard_bits
         if out:
@@ -192,17 +196,16 @@ def _starts(hints: DataFrame) -> DataFrame:
 def live_segments(ops: DataFrame, hints: DataFrame, shard_bits: int = 12) -> DataFrame:
     """log, fnode, first_seq_no, last_seq_no: what must be read again to restore each live fnode of each replay.
 
-    A segment is a run of operations that follow each other and name live fnodes; runs are found per
-    fnode. In as for live_files().
+    A segment is a run of operations that follow each other and name a live fnode; runs are the
+    coverage of its sequence numbers, so that a hot fnode is cut into shards. In as for live_files().
     """
     starts = _starts(hints)
     feed = materialize(applied_operations(ops, starts.select("replay", "log", "seq_no", "checksum"), shard_bits).where("fnode is not null"), "feed-applied")
     state = feed.where(f"kind in ({LINK}, {UNLINK}) and path is not null").groupBy("replay", "fnode", "path").agg(F.max_by("kind", "seq_no").alias("kind"))
     live = state.where(f"kind = {LINK}").select("replay", "fnode").distinct()
-    w = Window.partitionBy("replay", "fnode").orderBy("seq_no")
-    runs = feed.join(live, ["replay", "fnode"], "left_semi").select("replay", "fnode", "seq_no", (F.col("seq_no") - F.row_number().over(w)).alias("run"))
-    merged = runs.groupBy("replay", "fnode", "run").agg(F.min("seq_no").alias("first_seq_no"), F.max("seq_no").alias("last_seq_no"))
-    return merged.join(starts.select("replay", "log"), "replay").select("log", "fnode", "first_seq_no", "last_seq_no")
+    named = feed.join(live, ["replay", "fnode"], "left_semi").select(F.struct("replay", "fnode").alias("who"), F.col("seq_no").alias("first_seq_no"), (F.col("seq_no") + 1).alias("stop"))
+    spans = coverage(named, "who", "first_seq_no", "stop").where("kind = 'span'").select("who.*", "first_seq_no", (F.col("stop") - 1).alias("last_seq_no"))
+    return spans.join(starts.select("replay", "log"), "replay").select("log", "fnode", "first_seq_no", "last_seq_no")
 
 
 def live_files(ops: DataFrame, hints: DataFrame, shard_bits: int = 12, rows_per_bucket: int = 200_000, bucket_memory_mb: int = 512) -> DataFrame:
