@@ -12,6 +12,7 @@ overlap) is encoded whole.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,7 @@ from tidemark.session import materialize, width
 
 #: Fixed value: how texts are split before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The vocabulary, by path; where a machine has no such file, the one of that name among spark.files is taken.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -31,6 +33,10 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def _encoding(ranks: str, pattern: str):
     import tiktoken
 
+    if not os.path.exists(ranks):  # shipped with spark.files or addFile
+        from pyspark import SparkFiles
+
+        ranks = SparkFiles.get(os.path.basename(ranks))
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=merges, special_tokens={}), {v: k for k, v in merges.items()}
