@@ -1,7 +1,7 @@
 """Assign items to members: replicated, spread over zones, balanced, with as few moves as possible.
 
-This is control-plane work on the driver: thousands of items and members, never table data. Items
-are taken in networks of `network` items each. In each, a flow goes from every item (as much as
+allocate() solves on the driver, one network of `network` items after the other; allocate_frame() takes tables and
+solves the networks in parallel, each with its own part of every member's limit. Members are control-plane data. In each, a flow goes from every item (as much as
 its replication) over one edge per zone (at most replication - 1 where two zones are to be had) to
 the members, whose capacity is their fair share first and their limit where that is not enough.
 Existing assignments are tried first, so that a flow which can stay does.
@@ -12,6 +12,9 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Item:
@@ -114,9 +117,49 @@ def allocate(items: list[Item], members: list[Member], current: set[tuple[str, s
 
 def converge(current: set[tuple[str, str]], desired: set[tuple[str, str]], items: list[Item]) -> list[tuple[str, str, str]]:
     """Steps ('add' or 'remove', item, member), additions of an item before its removals, so that it never has too few."""
+    added, removed = {}, {}
+    for into, pairs in ((added, desired - current), (removed, current - desired)):
+        for k in sorted(pairs):
+            into.setdefault(k[0], []).append(k)
     steps = []
     for i in sorted(items, key=lambda i: i.id):
-        steps += [("add", *k) for k in sorted(desired - current) if k[0] == i.id]
-        steps += [("remove", *k) for k in sorted(current - desired) if k[0] == i.id]
+        steps += [("add", *k) for k in added.get(i.id, ())]
+        steps += [("remove", *k) for k in removed.get(i.id, ())]
     known = {i.id for i in items}
     return steps + [("remove", *k) for k in sorted(current) if k[0] not in known]
+
+
+def allocate_frame(items: DataFrame, members: DataFrame, current: DataFrame | None = None, network: int = 2_000) -> DataFrame:
+    """item, member. items: id, replication; members: id, zone, limit, exiting (at most 10,000 of them, else an error); current: item, member.
+
+    Items fall into networks by a hash of their ids. Network k of n may use limit // n places of a member, and one
+    more if k is below the rest, the count beginning at another network for each member; so limits hold for all of them together.
+    """
+    alive = members.where("not coalesce(exiting, false) and limit > 0").limit(10_001).collect()
+    if len(alive) > 10_000:
+        raise ValueError("more than 10,000 members")
+    listed = [(m.id, m.zone, int(m.limit)) for m in sorted(alive, key=lambda m: m.id)]
+    n = max(1, -(-items.count() // network))
+    net = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    held = (current if current is not None else items.sparkSession.createDataFrame([], "item string, member string")).groupBy(F.col("item").alias("id")).agg(F.collect_set("member").alias("held"))
+    rows = items.select("id", F.col("replication").cast("int").alias("replication")).dropDuplicates(["id"]).join(held, "id", "left").withColumn("network", net)
+
+    def solve(key, frame):
+        import pandas as pd
+
+        k = int(key[0])
+        part = [Member(m, zone, limit // n + ((k - at) % n < limit % n)) for at, (m, zone, limit) in enumerate(listed)]
+        known = {m.id for m in part}
+        now = {(i, m) for i, h in zip(frame["id"], frame["held"], strict=True) if h is not None for m in h if m in known}
+        got = sorted(allocate([Item(i, int(r)) for i, r in zip(frame["id"], frame["replication"], strict=True)], part, now, network=len(frame) + 1))
+        return pd.DataFrame({"item": [i for i, _ in got], "member": [m for _, m in got]}, dtype=str)
+
+    return rows.groupBy("network").applyInPandas(solve, "item string, member string")
+
+
+def converge_frame(current: DataFrame, desired: DataFrame) -> DataFrame:
+    """item, member, step, at: what to do, and in which order for each item; additions come before removals. In: item, member."""
+    a = current.select("item", "member").distinct().withColumn("_a", F.lit(True))
+    b = desired.select("item", "member").distinct().withColumn("_b", F.lit(True))
+    steps = a.join(b, ["item", "member"], "full_outer").where("_a is null or _b is null").select("item", "member", F.when(F.col("_a").isNull(), "add").otherwise("remove").alias("step"))
+    return steps.withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy("step", "member")))

@@ -140,3 +140,44 @@ def missing_references(shards: DataFrame, journals: DataFrame) -> DataFrame:
 def shards_of_journals(shards: DataFrame) -> DataFrame:
     """journal, shards: which shards consume a journal."""
     return shards.select(F.explode(F.array_distinct("sources")).alias("journal"), "id").groupBy("journal").agg(F.array_sort(F.collect_set("id")).alias("shards"))
+
+
+def resolve(items: DataFrame, assignments: DataFrame, item: str, near: str | None = None) -> DataFrame:
+    """item, status, primary, member: who serves each item. assignments: item, slot, member, zone.
+
+    The primary holds slot 0. Reads go to a member of the zone `near` if there is one (the lowest slot first), else to
+    the primary, else to the lowest slot. Status: OK, NO_PRIMARY (no slot 0) or NOT_ASSIGNED.
+    """
+    close = F.when(F.col("zone") == near, 0).otherwise(1) if near is not None else F.lit(1)
+    per = assignments.groupBy(item).agg(F.min_by("member", F.when(F.col("slot") == 0, F.struct("slot", "member"))).alias("primary"), F.min_by("member", F.struct(close, "slot", "member")).alias("member"))
+    status = F.when(F.col("member").isNull(), "NOT_ASSIGNED").when(F.col("primary").isNull(), "NO_PRIMARY").otherwise("OK")
+    return items.select(item).distinct().join(per, item, "left").select(item, status.alias("status"), "primary", "member")
+
+
+def patch(tree: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The tree after patches: a patch's values win where it has them (not null), its new keys are added; patched tells which rows were named."""
+    t, p = tree.select(key, *fields), patches.select(key, *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_p"))
+    return t.join(p, key, "full_outer").select(key, *[F.coalesce(f"_{f}", f).alias(f) for f in fields], F.coalesce("_p", F.lit(False)).alias("patched"))
+
+
+def mark_unpatched(patched: DataFrame) -> DataFrame:
+    """Rows of patch() with `delete`: what no patch named is to be deleted."""
+    return patched.withColumn("delete", ~F.col("patched")).drop("patched")
+
+
+def apply_in_batches(catalog: DataFrame, updates: DataFrame, size: int, key: str = "name") -> DataFrame:
+    """apply_changes() with updates taken in batches of `size` by key: each batch is a transaction, and so a revision, of its own."""
+    from tidemark.operators.intervals import ranks
+
+    numbered = ranks(updates, [], [key], "_rank").select(F.col(key), (F.expr(f"(_rank - 1) div {size}")).alias("_batch"))
+    after = apply_changes(catalog, updates, key).join(numbered, key, "left")
+    return after.select(key, (F.col("revision") + F.coalesce("_batch", F.lit(0))).alias("revision"), "spec")
+
+
+def network_hash(members: DataFrame, items: DataFrame) -> DataFrame:
+    """One row, hash: CRC-64 over the sorted keys of members and of items (both: key). It tells whether an assignment must be solved anew."""
+    from tidemark.functions.checksums import crc64
+
+    listed = lambda d: d.agg(F.array_join(F.array_sort(F.collect_list("key")), "\n").alias("k"))  # noqa: E731 - a catalog, not data
+    both = listed(members).withColumn("n", F.lit(0)).unionByName(listed(items).withColumn("n", F.lit(1)))
+    return both.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "k"))), lambda x: x["k"]), "\n\n").alias("k")).select(crc64(F.col("k").cast("binary")).alias("hash"))

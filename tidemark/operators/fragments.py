@@ -134,6 +134,14 @@ def prunable(fragments: DataFrame, live: DataFrame, complete: DataFrame | None =
     return d.where("_reach <= begin_offset").drop("_reach")
 
 
+def prune_totals(fragments: DataFrame, pruned: DataFrame) -> DataFrame:
+    """Per journal: fragments and bytes in all, and those of them that are pruned."""
+    size = (F.col("end_offset") - F.col("begin_offset")).cast("decimal(38,0)")
+    both = valid(fragments).select("journal", size.alias("b"), F.lit(0).alias("p")).unionByName(valid(pruned).select("journal", size.alias("b"), F.lit(1).alias("p")))
+    part = lambda p, c: F.coalesce(F.sum(F.when(F.col("p") == p, c)), F.lit(0))
+    return both.groupBy("journal").agg(part(0, F.lit(1)).alias("n_fragments"), part(0, F.col("b")).alias("n_bytes"), part(1, F.lit(1)).alias("n_pruned"), part(1, F.col("b")).alias("pruned_bytes"))
+
+
 def merge_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
     """The index after a listing: remote fragments and local ones they do not cover."""
     return cover_set(remote.unionByName(local, allowMissingColumns=True))

@@ -197,3 +197,90 @@ def keyspace_range(spark, sf_dir):
 @query("select snapshot_id, kv_key, max(mod_revision) as mod_revision from keyspace_kvs where starts_with(kv_key, '/tindale/') group by 1, 2")
 def keyspace_prefixed(spark, sf_dir):
     return table(spark, sf_dir, "keyspace_kvs").where(F.col("kv_key").startswith("/tindale/")).groupBy("snapshot_id", "kv_key").agg(F.max("mod_revision").alias("mod_revision"))
+
+
+@query(f"""with {_ASSIGNED}, i as (select p_partkey as item from part),
+p as (select item, arg_min(member, member) as primary_ from a where slot = 0 group by 1),
+m as (select item, member from (select *, row_number() over (partition by item order by case when zone = 7 then 0 else 1 end, slot, member) as n from a) where n = 1)
+select item, case when member is null then 'NOT_ASSIGNED' when primary_ is null then 'NO_PRIMARY' else 'OK' end as status, primary_ as "primary", member from i left join p using (item) left join m using (item)""")
+def resolve_routes(spark, sf_dir):
+    """Who serves each part, for a reader in zone 7."""
+    return catalog.resolve(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), _assignments(spark, sf_dir), "item", near=7)
+
+
+@query(f"{_SPECS}, p as (select name, nullif(replication, 0) as replication, case when name % 8 = 0 then tier end as tier from b), x as (select name + 100000 as name, 9 as replication, 'new' as tier from b where name % 10 = 0), u as (select * from p union all select * from x) select coalesce(a.name, u.name) as name, coalesce(u.replication, a.replication) as replication, coalesce(u.tier, a.tier) as tier, u.name is null as delete from a full join u on a.name = u.name")
+def spec_patch(spark, sf_dir):
+    """A tree patched by changed and new rows; what no patch names is marked for deletion."""
+    a, b = _specs(spark, sf_dir)
+    changed = b.select("name", F.nullif("replication", F.lit(0)).alias("replication"), F.when(F.col("name") % 8 == 0, F.col("tier")).alias("tier"))
+    new = b.where("name % 10 = 0").select((F.col("name") + 100000).alias("name"), F.lit(9).alias("replication"), F.lit("new").alias("tier"))
+    return catalog.mark_unpatched(catalog.patch(a, changed.unionByName(new), "name", ["replication", "tier"]))
+
+
+@query(_UPDATED.replace("top as (", "nr as (select name, (row_number() over (order by name) - 1) // 50 as batch from u), top as (").replace("else top + 1 end", "else top + 1 + (select batch from nr where nr.name = u.name) end"))
+def apply_in_batches(spark, sf_dir):
+    """The same changes in transactions of fifty."""
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "name")
+    rev = F.col("name") % 50 + 1
+    cat = c.where("name % 3 <> 0").select("name", rev.alias("revision"), F.col("c_mktsegment").alias("spec"))
+    expect = F.when(F.col("name") % 3 == 0, 0).when(F.col("name") % 2 == 0, -1).otherwise(rev)
+    new = F.when(F.col("name") % 10 == 1, F.lit(None).cast("string")).otherwise("new")
+    return catalog.apply_in_batches(cat, c.where("name % 5 < 2").select("name", expect.alias("expect_revision"), new.alias("spec")), 50)
+
+
+def _crc_of_keys() -> str:
+    from tidemark.plans.journals import _crc_sql
+
+    keys = "keys as (select 1 as id, ((select string_agg(s_name, chr(10) order by s_name) from supplier) || chr(10) || chr(10) || (select string_agg(p_partkey::varchar, chr(10) order by p_partkey::varchar) from part))::blob as data)"
+    return f"with {keys}, {_crc_sql('keys', 0xC96C5795D7870F42, 2**64 - 1, 'c64')} select printf('%08x%08x', (crc >> 32)::bigint, (crc & 4294967295)::bigint) as hash from c64"
+
+
+@query(_crc_of_keys())
+def network_hash(spark, sf_dir):
+    return catalog.network_hash(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("key")), table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key")))
+
+
+@query("select p_partkey::varchar as item, (p_size % 3 + 1)::bigint as replicas, p_size % 3 > 0 as spread, true as within_limits from part")
+def allocation(spark, sf_dir):
+    """Parts assigned to suppliers as members: each as often as asked for, over two zones where replicated, within limits."""
+    from tidemark.operators.allocator import allocate_frame
+
+    parts = table(spark, sf_dir, "part")
+    items = parts.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") % 3 + 1).cast("int").alias("replication"))
+    n = parts.count()
+    members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_nationkey") % 5).cast("string").alias("zone"), F.lit(n).alias("limit"), F.lit(False).alias("exiting"))
+    got = allocate_frame(items, members, network=500).join(members.select(F.col("id").alias("member"), "zone", "limit"), "member")
+    within = got.groupBy("member", "limit").agg(F.count("*").alias("n")).agg(F.min(F.col("n") <= F.col("limit")).alias("ok"))
+    per = got.groupBy("item").agg(F.count_distinct("member").alias("replicas"), F.count_distinct("zone").alias("zones"))
+    return per.select("item", "replicas", (F.col("zones") > 1).alias("spread"), within.scalar().alias("within_limits"))
+
+
+@query(f"with {_ASSIGNED}, c as (select item, member from a where slot < 2), d as (select item, member from a where slot > 0), s as (select coalesce(c.item, d.item) as item, coalesce(c.member, d.member) as member, case when c.item is null then 'add' else 'remove' end as step from c full join d on c.item = d.item and c.member = d.member where c.item is null or d.item is null) select *, row_number() over (partition by item order by step, member)::int as at from s")
+def convergence(spark, sf_dir):
+    """The steps from one assignment to another."""
+    from tidemark.operators.allocator import converge_frame
+
+    a = _assignments(spark, sf_dir)
+    return converge_frame(a.where("slot < 2"), a.where("slot > 0"))
+
+
+@query("select s_suppkey, case when s_suppkey % 6 = 5 then null else s_suppkey % 6 end as flags, coalesce(s_suppkey % 6 in (0, 1, 4, 5), true) as readable, coalesce(s_suppkey % 6 in (0, 2, 4, 5), true) as writable from supplier")
+def may_read_write(spark, sf_dir):
+    flags = F.nullif(F.col("s_suppkey") % 6, F.lit(5))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", flags.alias("flags"), catalog.may_read(flags).alias("readable"), catalog.may_write(flags).alias("writable"))
+
+
+@query("select p_partkey, 'Brand' || (p_partkey % 3) as set_brand, 2 as n_sizes, false as has_type from part")
+def label_changes(spark, sf_dir):
+    """Labels set, added and removed."""
+    from tidemark.plans.journals import _parts
+
+    c = lb.remove(lb.add_value(lb.remove(lb.set_value(F.col("labels"), "brand", F.concat(F.lit("Brand"), (F.col("p_partkey") % 3).cast("string"))), "size"), "size", "a"), "type")
+    d = _parts(spark, sf_dir).withColumn("labels", lb.add_value(c, "size", "b"))
+    return d.select("p_partkey", lb.value_of(F.col("labels"), "brand").alias("set_brand"), F.size(lb.values_of(F.col("labels"), "size")).alias("n_sizes"), F.array_contains(lb.names(F.col("labels")), "type").alias("has_type"))
+
+
+@query("select * from (values ('aa=1,bb in (2,3)', 'bb in (2,3),aa=1'), ('xx,yy!=4,!zz', 'yy!=4 , xx, !zz'), ('nn:prefix=q,kk notin (5,6)', 'kk notin (6,5,6), nn:prefix = q')) t(shown, given)")
+def selector_strings(spark, sf_dir):
+    given = ["bb in (2,3),aa=1", "yy!=4 , xx, !zz", "kk notin (6,5,6), nn:prefix = q"]
+    return spark.createDataFrame([(str(lb.parse_selector(g)), g) for g in given], "shown string, given string")

@@ -189,6 +189,56 @@ def fnv_modulo(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fnv1a("c_name").alias("hash"), modulo("c_name", JOURNALS).alias("journal"))
 
 
+_VARINT = "list_aggregate(list_transform(range(10), lambda i: case when i = 0 or (v >> (7 * i)) > 0 then printf('%02X', ((v >> (7 * i)) & 127)::int + case when (i < 9 and (v >> (7 * (i + 1))) > 0) then 128 else 0 end) else '' end), 'string_agg', '')"
+
+
+@query(f"with x as (select o_orderkey, (o_orderkey::hugeint * o_orderkey * 7919 * 104729 % 9223372036854775807)::bigint as v from orders) select o_orderkey, {_VARINT} as encoded, v as decoded from x")
+def uvarint(spark, sf_dir):
+    from tidemark.functions import varint
+
+    o = table(spark, sf_dir, "orders")
+    v = o.select("o_orderkey", F.expr("cast(cast(o_orderkey as decimal(12,0)) * cast(o_orderkey as decimal(12,0)) * cast(829348951 as decimal(10,0)) % cast(9223372036854775807 as decimal(19,0)) as bigint)").alias("v"))
+    e = v.withColumn("e", varint.encode("v"))
+    return e.select("o_orderkey", F.hex("e").alias("encoded"), varint.decode("e").alias("decoded"))
+
+
+@query("select n_nationkey - 1 as attempt, case when n_nationkey = 0 then 0 when n_nationkey <= 2 then 50 when n_nationkey <= 4 then 100 when n_nationkey <= 6 then 1000 else 5000 end::bigint as wait_ms from nation")
+def backoff_schedule(spark, sf_dir):
+    from tidemark.functions.retry import backoff
+
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") - 1).alias("attempt"))
+    return n.select("attempt", backoff("attempt").alias("wait_ms"))
+
+
+@query("select event_id, 'utc_date=' || strftime(ts, '%Y-%m-%d') || '/utc_hour=' || strftime(ts, '%H') as postfix from events")
+def postfix_template(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", nm.date_postfix(F.col("ts").cast("timestamp")).alias("postfix"))
+
+
+@query(f"select event_id, greatest({_CLOCK} + 160, ((epoch_us(ts) - event_id % 3 + 1) * 10 + 122192928000000000) << 4) as clock from events")
+def clock_updates(spark, sf_dir):
+    """A clock that ticked once and then sees a time a little before or after its own."""
+    e = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = uuids.tick(uuids.clock_of(micros) + F.col("event_id") % 16)
+    return e.select("event_id", uuids.update(own, micros - F.col("event_id") % 3 + 1).alias("clock"))
+
+
+@query("select c_custkey, 'all/customers' as journal from customer")
+def constant_mapping(spark, sf_dir):
+    from tidemark.functions.mapping import constant
+
+    return table(spark, sf_dir, "customer").select("c_custkey", constant("all/customers").alias("journal"))
+
+
+@query("select c_custkey, true as listed from customer")
+def random_mapping(spark, sf_dir):
+    """Every row goes to one of the listed journals."""
+    from tidemark.functions.mapping import random
+
+    return table(spark, sf_dir, "customer").select("c_custkey", random(JOURNALS, 1).isin(*JOURNALS).alias("listed"))
+
+
 @query(
     f"""
 with j as (select 'orders/part-' || lpad(i::varchar, 3, '0') as name, i from range(8) t(i)), h as (select name, i, {_fnv('name')} as ph from j),
@@ -350,6 +400,14 @@ def prune_retention(spark, sf_dir):
     return fragments.aged_out(table(spark, sf_dir, "fragments"), r, NOW).select("journal", "begin_offset", "end_offset", "mod_time")
 
 
+@query(f"with {_VALID}, p as (select * from f where mod_time > 0 and store is not null and {NOW} - mod_time >= 345600) select journal, count(*) as n_fragments, sum((end_offset - begin_offset)::hugeint)::bigint as n_bytes, (select count(*) from p where p.journal = f.journal) as n_pruned, coalesce((select sum((end_offset - begin_offset)::hugeint) from p where p.journal = f.journal), 0)::bigint as pruned_bytes from f group by journal")
+def prune_totals(spark, sf_dir):
+    """What pruning by age would delete of each journal."""
+    f = table(spark, sf_dir, "fragments")
+    t = fragments.prune_totals(f, fragments.aged_out(f, 345_600, NOW))
+    return t.select("journal", "n_fragments", F.col("n_bytes").cast("long").alias("n_bytes"), "n_pruned", F.col("pruned_bytes").cast("long").alias("pruned_bytes"))
+
+
 @query(f"with {_VALID}, live as (select journal, begin_offset as b, end_offset as e from f where mod_time % 7 = 0) select journal, begin_offset, end_offset, mod_time from f where store is not null and not exists (select 1 from live l where l.journal = f.journal and l.b < f.end_offset and l.e > f.begin_offset)")
 def prune_segments(spark, sf_dir):
     f = table(spark, sf_dir, "fragments")

@@ -135,6 +135,38 @@ def recorded_op(payload: bytes) -> dict:
     }
 
 
+def _put_varint(value: int) -> bytes:
+    out = bytearray()
+    while value >= 0x80:
+        out.append(value & 0x7F | 0x80)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def _message(fields: list[tuple[int, int | bytes | str | None]]) -> bytes:
+    """A protobuf message of varints and byte strings; what is null, 0 or empty is left out."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, str):
+            value = value.encode()
+        if isinstance(value, bytes):
+            out += _put_varint(number << 3 | 2) + _put_varint(len(value)) + value
+        elif value:
+            out += _put_varint(number << 3) + _put_varint(value)
+    return out
+
+
+def encode_op(op: dict, data: bytes = b"") -> bytes:
+    """The frame of a recovery-log operation (a dict like those of recorded_op()), with the bytes that a write is followed by."""
+    if op.get("op_write") and len(data) != (op["op_write"]["write_length"] or 0):
+        raise FramingError(f"a write of {op['op_write']['write_length']} bytes is followed by {len(data)}")
+    part = lambda name, *keys: None if op.get(name) is None else _message([(i + 1, op[name][k]) for i, k in enumerate(keys)])
+    word = lambda number, value: _put_varint(number << 3 | 5) + struct.pack("<I", value) if value else b""
+    body = _message([(1, op.get("seq_no"))]) + word(2, op.get("checksum")) + word(3, op.get("author"))
+    parts = [(4, part("op_create", "path")), (5, part("op_link", "fnode", "path")), (6, part("op_unlink", "fnode", "path")), (7, part("op_write", "fnode", "write_offset", "write_length")), (8, part("op_property", "path", "content"))]
+    return encode_fixed(body + _message([*parts, (9, op.get("first_offset")), (10, op.get("last_offset")), (11, op.get("log") or None)])) + data
+
+
 def recovery_log(data: bytes, base: int = 0) -> Iterator[Frame]:
     """Fixed frames of operations; a write is followed by as many raw bytes as it says, which belong to its frame."""
     at = 0
@@ -179,4 +211,4 @@ def encode_fixed(payload: bytes) -> bytes:
     return MAGIC + struct.pack("<I", len(payload)) + payload
 
 
-ENCODERS = {"application/x-ndjson": encode_line, "text/csv": encode_line, "application/x-protobuf-fixed": encode_fixed, "none": bytes}
+ENCODERS = {"application/x-ndjson": encode_line, "text/csv": encode_line, "application/x-protobuf-fixed": encode_fixed, "recovery-log": bytes, "none": bytes}
