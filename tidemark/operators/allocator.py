@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize, width
+
 
 @dataclass(frozen=True)
 class Item:
@@ -31,7 +33,7 @@ class Member:
 
 
 class _Flow:
-    """Maximum flow by shortest augmenting paths; edges are tried in the order they were added."""
+    """Maximum flow by blocking flows along shortest paths; edges are tried in the order they were added."""
 
     def __init__(self) -> None:
         self.edges: dict[object, list[list]] = {}
@@ -45,21 +47,38 @@ class _Flow:
 
     def augment(self, source, sink) -> None:
         while True:
-            came: dict[object, tuple] = {source: ()}
+            level = {source: 0}
             queue = deque([source])
-            while queue and sink not in came:
+            while queue:
                 at = queue.popleft()
-                for e in self.edges.get(at, ()):
-                    if e[1] and e[0] not in came:
-                        came[e[0]] = (at, e)
-                        queue.append(e[0])
-            if sink not in came:
+                for to, capacity, _ in self.edges.get(at, ()):
+                    if capacity and to not in level:
+                        level[to] = level[at] + 1
+                        queue.append(to)
+            if sink not in level:
                 return
-            at = sink
-            while at != source:
-                at, e = came[at]
-                e[1] -= 1
-                e[2][1] += 1
+            # All paths of this length: what an edge did not lead to once, it does not lead to later either.
+            tried = dict.fromkeys(level, 0)
+            path: list[list] = []
+            at = source
+            while True:
+                edges, k = self.edges.get(at, ()), tried[at]
+                while k < len(edges) and not (edges[k][1] and level.get(edges[k][0], -1) == level[at] + 1):
+                    k += 1
+                tried[at] = k
+                if k < len(edges):
+                    path.append(edges[k])
+                    at = edges[k][0]
+                    if at == sink:
+                        for e in path:
+                            e[1] -= 1
+                            e[2][1] += 1
+                        path, at = [], source
+                elif path:
+                    at = path.pop()[2][0]
+                    tried[at] += 1
+                else:
+                    break
 
 
 def fair_share(limit: int, wanted: int, capacity: int) -> int:
@@ -80,12 +99,19 @@ def _solve(items: list[Item], members: list[Member], current: set[tuple[str, str
         for z in sorted(zones):
             flow.edge(("item", i.id), ("item", i.id, z), i.replication - 1 if spread and i.replication > 1 else i.replication)
     kept = {i.id for i in items}
+    ordered = sorted(items, key=lambda i: i.id)
+    held: dict[tuple[str, str], list[Member]] = {}
+    for z, ms in zones.items():
+        ms.sort(key=lambda m: m.id)
+        for i in ordered:
+            if there := [m for m in ms if (i.id, m.id) in current] if current else []:
+                held[z, i.id] = there
     for early in (True, False):  # existing assignments first, then all others
         for z in sorted(zones):
-            for i in sorted(items, key=lambda i: i.id):
-                for m in sorted(zones[z], key=lambda m: m.id):
-                    if ((i.id, m.id) in current) == early:
-                        links[i.id, m.id] = flow.edge(("item", i.id, z), ("member", m.id), 1)
+            for i in ordered:
+                there = held.get((z, i.id), [])
+                for m in there if early else [m for m in zones[z] if m not in there] if there else zones[z]:
+                    links[i.id, m.id] = flow.edge(("item", i.id, z), ("member", m.id), 1)
         for capacity in (share, room):  # fair shares before limits
             for m in members:
                 used = sinks[m.id][2][1]
@@ -154,7 +180,9 @@ def allocate_frame(items: DataFrame, members: DataFrame, current: DataFrame | No
         got = sorted(allocate([Item(i, int(r)) for i, r in zip(frame["id"], frame["replication"], strict=True)], part, now, network=len(frame) + 1))
         return pd.DataFrame({"item": [i for i, _ in got], "member": [m for _, m in got]}, dtype=str)
 
-    return rows.groupBy("network").applyInPandas(solve, "item string, member string")
+    # One network a partition as far as the session is wide: rows are few, so that they would else be put together into one task.
+    spread = rows.repartition(min(n, width(items.sparkSession)), "network")
+    return materialize(spread.groupBy("network").applyInPandas(solve, "item string, member string"), "allocation")
 
 
 def converge_frame(current: DataFrame, desired: DataFrame) -> DataFrame:

@@ -247,9 +247,9 @@ def allocation(spark, sf_dir):
 
     parts = table(spark, sf_dir, "part")
     items = parts.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") % 3 + 1).cast("int").alias("replication"))
-    n = parts.count()
-    members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_nationkey") % 5).cast("string").alias("zone"), F.lit(n).alias("limit"), F.lit(False).alias("exiting"))
-    got = allocate_frame(items, members, network=500).join(members.select(F.col("id").alias("member"), "zone", "limit"), "member")
+    limit = 6 * parts.count() // table(spark, sf_dir, "supplier").count() + 1
+    members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_nationkey") % 5).cast("string").alias("zone"), F.lit(limit).alias("limit"), F.lit(False).alias("exiting"))
+    got = allocate_frame(items, members, network=100).join(members.select(F.col("id").alias("member"), "zone", "limit"), "member")
     within = got.groupBy("member", "limit").agg(F.count("*").alias("n")).agg(F.min(F.col("n") <= F.col("limit")).alias("ok"))
     per = got.groupBy("item").agg(F.count_distinct("member").alias("replicas"), F.count_distinct("zone").alias("zones"))
     return per.select("item", "replicas", (F.col("zones") > 1).alias("spread"), within.scalar().alias("within_limits"))
