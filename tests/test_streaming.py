@@ -101,3 +101,55 @@ def test_a_writer_fenced_off_during_its_commit_publishes_nothing(spark, tmp_path
     with pytest.raises(consumer.FencedError):
         t.commit(first, "q", 0, rows)
     assert t.live() is None and not list((tmp_path / "t").glob("v*"))
+
+
+def test_hooks_and_deferred_rows(spark, tmp_path):
+    """Odd rows are put off once; a failed transaction is told to the hook and sees the same rows again."""
+    src, check = str(tmp_path / "src"), str(tmp_path / "check")
+    schema = spark.createDataFrame([], "id bigint, tries int").schema
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema("id bigint, tries int").parquet(src)
+    calls, done, fail = [], [], [True]
+
+    def txn(rows, batch):
+        have = sorted(tuple(r) for r in rows.collect())
+        if fail[0] and batch == 1:
+            fail[0] = False
+            raise RuntimeError("once")
+        done.append([i for i, tries in have if i % 2 == 0 or tries])
+        later = [(i, tries + 1) for i, tries in have if i % 2 and not tries]
+        return spark.createDataFrame(later, schema)
+
+    def go():
+        q = consumer.run_consumer(stream, "d", check, consumer.with_deferred(f"file://{tmp_path}/later", schema, txn), begin=lambda b: calls.append(("begin", b)), finished=lambda b, e: calls.append(("end", b, e is None)))
+        q.awaitTermination()
+
+    for k in range(3):
+        spark.range(k * 4, k * 4 + 4).selectExpr("id", "0 as tries").coalesce(1).write.mode("append").parquet(src)
+        if k == 1:
+            with pytest.raises(Exception, match="once"):
+                go()
+        go()
+    assert done == [[0, 2], [1, 3, 4, 6], [5, 7, 8, 10]]
+    assert calls == [("begin", 0), ("end", 0, True), ("begin", 1), ("end", 1, False), ("begin", 1), ("end", 1, True), ("begin", 2), ("end", 2, True)]
+
+
+def test_json_store(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    a = consumer.JsonStore(spark, path)
+    assert a.state is None
+    a.commit({"n": 1}, {"j": 10})
+    b = consumer.JsonStore(spark, path)
+    assert (b.state, b.checkpoint) == ({"n": 1}, {"j": 10})
+    with pytest.raises(consumer.FencedError):
+        a.commit({"n": 2}, {"j": 20})
+    b.commit({"n": 3}, {"j": 30})
+    assert consumer.JsonStore(spark, path).state == {"n": 3}
+
+
+def test_counters(spark):
+    from pyspark.sql import functions as F
+
+    df, seen = consumer.counted(spark.range(100), "c", rows=F.count("*"), odd=F.count_if(F.col("id") % 2 == 1))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 100, "odd": 50}

@@ -12,13 +12,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.operators.sequencer import Automaton
-from tidemark.session import Versions, remove
+from tidemark.session import Versions, exists, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -148,10 +148,89 @@ class KeyedTable:
         return None if rows is None else rows.where("not coalesce(_deleted, false)").drop("_deleted")
 
 
-def run_consumer(stream: DataFrame, name: str, checkpoint: str, transaction: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
-    """Call transaction(rows, batch_id) once per micro-batch; it commits under batch_id. With available_now it drains and ends."""
-    writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(transaction)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def run_consumer(
+    stream: DataFrame,
+    name: str,
+    checkpoint: str,
+    transaction: Callable[[DataFrame, int], None],
+    available_now: bool = True,
+    begin: Callable[[int], None] | None = None,
+    finished: Callable[[int, Exception | None], None] | None = None,
+    min_interval: str | None = None,
+) -> StreamingQuery:
+    """Call transaction(rows, batch_id) once per micro-batch; it commits under batch_id. With available_now it drains and ends.
+
+    begin(batch_id) is called before it, finished(batch_id, error or None) after it, whether it failed
+    or not. min_interval ('5 seconds') lets a transaction gather at least so long; how much it may
+    take at most is an option of the source, such as maxFilesPerTrigger.
+    """
+
+    def run(rows: DataFrame, batch_id: int) -> None:
+        if begin:
+            begin(batch_id)
+        try:
+            transaction(rows, batch_id)
+        except Exception as e:
+            if finished:
+                finished(batch_id, e)
+            raise
+        if finished:
+            finished(batch_id, None)
+
+    writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(run)
+    if available_now:
+        return writer.trigger(availableNow=True).start()
+    return (writer.trigger(processingTime=min_interval) if min_interval else writer).start()
+
+
+def with_deferred(path: str, schema: StructType, transaction: Callable[[DataFrame, int], DataFrame | None]) -> Callable[[DataFrame, int], None]:
+    """A transaction for run_consumer() that may put rows off: what it returns comes again at the head of the next batch.
+
+    Put-off rows are written under the batch that put them off; a batch that runs again reads the same
+    ones and writes its own anew. `order` of rows is not kept.
+    """
+
+    def run(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = f"{path.rstrip('/')}/deferred-{batch_id - 1}"
+        if exists(spark, before):
+            rows = rows.select(*schema.fieldNames()).unionByName(spark.read.schema(schema).parquet(before))
+        later = transaction(rows, batch_id)
+        if later is not None:
+            later.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{path.rstrip('/')}/deferred-{batch_id}")
+        # What was put off two batches ago has been taken up by a batch that committed.
+        remove(spark, f"{path.rstrip('/')}/deferred-{batch_id - 2}")
+
+    return run
+
+
+class JsonStore:
+    """A small state as one JSON document, committed together with the checkpoint it belongs to, by compare-and-swap.
+
+    Who opens it last owns it: a commit of an owner before is refused.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._versions, self._owner = Versions(spark, path), uuid.uuid4().hex
+        while True:
+            self._seen, text = self._versions.read()
+            doc = json.loads(text) if text else {"state": None, "checkpoint": None}
+            if self._versions.replace(self._seen, json.dumps(doc | {"owner": self._owner})):
+                self._seen += 1
+                break
+        self.state, self.checkpoint = doc["state"], doc["checkpoint"]
+
+    def commit(self, state: object, checkpoint: object) -> None:
+        if not self._versions.replace(self._seen, json.dumps({"state": state, "checkpoint": checkpoint, "owner": self._owner})):
+            raise FencedError(self._versions.path)
+        self._seen += 1
+        self.state, self.checkpoint = state, checkpoint
+
+
+def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df, and an observation whose get holds the counters (aggregates over df's rows) once df has been read to its end."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in counters.items()]), seen
 
 
 def progress(query: StreamingQuery) -> dict[str, int]:
