@@ -179,3 +179,15 @@ def test_long_checksums_against_byte_by_byte():
                 slow = update(slow, data[at : at + 1000])
             assert update(start, data) == slow
     assert ck.crc32c_update(0, b"123456789") == 0xE3069283
+
+
+def test_varints(spark):
+    from tidemark.functions import varint
+    from tidemark.sources.framing import _put_varint
+
+    values = [0, 1, 127, 128, 300, 2**31, 2**62, 2**63 - 1, -1, -(2**63)]
+    got = spark.createDataFrame([(v,) for v in [*values, None]], "v bigint").withColumn("e", varint.encode("v")).withColumn("d", varint.decode("e")).collect()
+    assert [r.d for r in got] == [*values, None] and got[-1].e is None
+    assert [bytes(r.e) for r in got[:-1]] == [_put_varint(v % 2**64) for v in values]
+    odd = spark.createDataFrame([(b"",), (b"\x80",), (b"\x05\xff",), (b"\xff" * 11,), (None,)], "e binary").select(varint.decode("e").alias("d"))
+    assert [r.d for r in odd.collect()] == [None, None, 5, None, None]

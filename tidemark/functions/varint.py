@@ -1,28 +1,34 @@
-"""Unsigned variable-length integers, seven bits a byte with the lowest first, as Column expressions."""
+"""Unsigned variable-length integers, seven bits a byte with the lowest first, as Column expressions.
+
+Ten bytes at most, so that all are written out: no lambda, and whole-stage code.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _groups(value: Column, i: Column) -> Column:
-    return F.call_function("shiftrightunsigned", value, i * 7)
+_MOST = 10
 
 
 def encode(value: Column | str) -> Column:
     """The bytes of a long; a negative one counts as its unsigned value, of ten bytes."""
     v = F.col(value) if isinstance(value, str) else value
-    n = F.greatest(F.lit(1), F.size(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: _groups(v, i) != 0)))
-    byte = lambda i: F.lpad(F.hex(_groups(v, i).bitwiseAND(F.lit(127)) + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
-    return F.when(v.isNotNull(), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte), "")))
+    rest = [F.shiftrightunsigned(v, 7 * i) for i in range(_MOST)]
+    more = [r != 0 for r in rest[1:]] + [F.lit(False)]
+    byte = lambda i: F.lpad(F.hex(rest[i].bitwiseAND(F.lit(127)) + F.when(more[i], 128).otherwise(0)), 2, "0")
+    return F.unhex(F.concat(byte(0), *[F.when(more[i - 1], byte(i)).otherwise("") for i in range(1, _MOST)]))
 
 
 def decode(data: Column | str) -> Column:
     """The long at the beginning of a binary; null if it is cut off."""
-    d = F.hex(F.col(data) if isinstance(data, str) else data)
-    at = lambda i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    all_ = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i * 2 < F.length(d))
-    last = F.array_min(F.filter(all_, lambda i: at(i) < 128))
-    value = F.aggregate(F.filter(all_, lambda i: i <= last), F.lit(0).cast("long"), lambda s, i: s + F.call_function("shiftleft", at(i).bitwiseAND(F.lit(127)), i * 7))
-    return F.when(last.isNotNull(), value)
+    d = F.col(data) if isinstance(data, str) else data
+    chars = F.decode(d, "ISO-8859-1")  # one character a byte
+    byte = [F.ascii(F.substring(chars, i + 1, 1)).cast("long") for i in range(_MOST)]
+    goes_on = [(F.length(chars) > i) & (byte[i] >= 128) for i in range(_MOST)]
+    value, reached, ended = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    for i in range(_MOST):
+        value = value + F.when(reached, F.shiftleft(byte[i].bitwiseAND(F.lit(127)), 7 * i)).otherwise(F.lit(0).cast("long"))
+        ended = ended | (reached & (F.length(chars) > i) & (byte[i] < 128))
+        reached = reached & goes_on[i]
+    return F.when(ended, value)
