@@ -78,32 +78,28 @@ def _share(capacity: int):
     return run
 
 
-def _split(content: bytes) -> list[bytes]:
-    """The records of a file with their newlines; only the newline byte ends a record."""
-    *whole, rest = content.split(b"\n")
-    return [x + b"\n" for x in whole] + ([rest] if rest else [])
-
-
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """journal, begin_offset, content, own_from, store_key -> store_key, journal, record_begin, record, owned."""
-    schema = pa.schema([("store_key", pa.string()), ("journal", pa.string()), ("record_begin", pa.int64()), ("record", pa.binary()), ("owned", pa.bool_())])
-    out: list[tuple] = []
-    size = 0
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    """journal, begin_offset, content, own_from, store_key -> store_key, journal, record_begin, record, owned.
 
+    Only the newline byte ends a record, and the end of a file. The records of a batch are slices of its content.
+    """
     for b in batches:
-        for journal, at, content, own_from, bin_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for rec in _split(content):
-                out.append((bin_, journal, at, rec, at >= own_from))
-                at += len(rec)
-                size += len(rec)
-                if len(out) >= 20_000 or size > 8 << 20:
-                    yield batch()
-                    out, size = [], 0
-    if out:
-        yield batch()
+        content = pa.concat_arrays([b.column(2).cast(pa.binary())])
+        if not b.num_rows:
+            continue
+        at = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + b.num_rows + 1].astype(np.int64)
+        data = np.frombuffer(content.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        first, last = at[:-1] - at[0], at[1:] - at[0]
+        bounds = np.unique(np.concatenate([[0], np.flatnonzero(data == 10) + 1, last]))
+        start = bounds[:-1]
+        of = np.searchsorted(last, start, side="right")
+        begin = b.column(1).to_numpy(zero_copy_only=False)[of] + start - first[of]
+        owned = begin >= b.column(3).to_numpy(zero_copy_only=False)[of]
+        records = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        of = pa.array(of)
+        out = pa.RecordBatch.from_arrays([b.column(4).take(of), b.column(0).take(of), pa.array(begin, pa.int64()), records, pa.array(owned)], names=["store_key", "journal", "record_begin", "record", "owned"])
+        for k in range(0, out.num_rows, 20_000):
+            yield out.slice(k, 20_000)
 
 
 def _sums(df: DataFrame) -> DataFrame:
