@@ -1,16 +1,18 @@
 """Assign items to members: replicated, spread over zones, balanced, with as few moves as possible.
 
 allocate() solves on the driver, one network of `network` items after the other; allocate_frame() takes tables and
-solves the networks in parallel, each with its own part of every member's limit. Members are control-plane data. In each, a flow goes from every item (as much as
+solves the networks in parallel, each with its own part of the members' limits. In each, a flow goes from every item (as much as
 its replication) over one edge per zone (at most replication - 1 where two zones are to be had) to
 the members, whose capacity is their fair share first and their limit where that is not enough.
-Existing assignments are tried first, so that a flow which can stay does.
+Existing assignments are tried first, so that a flow which can stay does. Where copies can be dealt out one after the other
+within the fair shares, that is done, and no edges are made.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,20 +88,66 @@ def fair_share(limit: int, wanted: int, capacity: int) -> int:
     return -(-limit * min(wanted, capacity) // capacity) if capacity else 0
 
 
+def _deal(ordered: list[Item], zones: dict[str, list[Member]], share: dict[str, int], placed: set[tuple[str, str]]) -> set[tuple[str, str]] | None:
+    """placed and all other copies, each to the zone and there to the member with most of its share left; None if one copy finds no place."""
+    zone_of = {m.id: z for z, ms in zones.items() for m in ms}
+    left = {m: share[m] for m in zone_of}
+    had: dict[str, list[str]] = {}
+    for i, m in placed:
+        left[m] -= 1
+        had.setdefault(i, []).append(m)
+    turns = {z: [(-left[m.id], at, m.id) for at, m in enumerate(ms) if left[m.id] > 0] for z, ms in zones.items()}
+    order = [(sum(t[0] for t in ts), z) for z, ts in turns.items() if ts]
+    for heap in (order, *turns.values()):
+        heapify(heap)
+    out = set(placed)
+    for i in ordered:
+        most = i.replication - 1 if len(zones) > 1 and i.replication > 1 else i.replication
+        mine = had.get(i.id, [])
+        used: dict[str, int] = {}
+        for m in mine:
+            used[zone_of[m]] = used.get(zone_of[m], 0) + 1
+        aside: list[tuple[list, tuple]] = []  # what this item may not take again, and where it belongs
+        for _ in range(i.replication - len(mine)):
+            while order:
+                total, z = heappop(order)
+                ts = turns[z]
+                while ts and ts[0][2] in mine:
+                    aside.append((ts, heappop(ts)))
+                if ts and used.get(z, 0) < most:
+                    break
+                aside.append((order, (total, z)))
+            else:
+                return None
+            n, at, m = heappop(ts)
+            out.add((i.id, m))
+            used[z] = used.get(z, 0) + 1
+            if n < -1:
+                aside.append((ts, (n + 1, at, m)))
+            if total < -1:
+                heappush(order, (total + 1, z))
+        for heap, x in aside:
+            heappush(heap, x)
+    return out
+
+
 def _solve(items: list[Item], members: list[Member], current: set[tuple[str, str]], room: dict[str, int], share: dict[str, int]) -> set[tuple[str, str]]:
-    flow = _Flow()
     zones: dict[str, list[Member]] = {}
     for m in members:
         zones.setdefault(m.zone, []).append(m)
+    ordered = sorted(items, key=lambda i: i.id)
+    limits = {m.id: max(0, min(share[m.id], room[m.id])) for m in members}
+    if not current and (dealt := _deal(ordered, zones, limits, set())) is not None:
+        return dealt
+    flow = _Flow()
     spread = len(zones) > 1
     sinks = {m.id: flow.edge(("member", m.id), "sink", 0) for m in members}
     links: dict[tuple[str, str], list] = {}
-    for i in sorted(items, key=lambda i: i.id):
+    for i in ordered:
         flow.edge("source", ("item", i.id), i.replication)
         for z in sorted(zones):
             flow.edge(("item", i.id), ("item", i.id, z), i.replication - 1 if spread and i.replication > 1 else i.replication)
     kept = {i.id for i in items}
-    ordered = sorted(items, key=lambda i: i.id)
     held: dict[tuple[str, str], list[Member]] = {}
     for z, ms in zones.items():
         ms.sort(key=lambda m: m.id)
@@ -119,13 +167,16 @@ def _solve(items: list[Item], members: list[Member], current: set[tuple[str, str
             flow.augment("source", "sink")
             if early:
                 break
+        if early and (dealt := _deal(ordered, zones, limits, {k for k, e in links.items() if e[2][1]})) is not None:
+            return dealt
     return {k for k, e in links.items() if e[2][1] and k[0] in kept}
 
 
 def allocate(items: list[Item], members: list[Member], current: set[tuple[str, str]] | None = None, network: int = 10_000) -> set[tuple[str, str]]:
     """(item, member) pairs. Exiting members get nothing; what cannot be placed within limits is left unplaced."""
     alive = [m for m in members if not m.exiting and m.limit > 0]
-    current = {(i, m) for i, m in current or set() if any(x.id == m for x in alive)}
+    known = {m.id for m in alive}
+    current = {(i, m) for i, m in current or set() if m in known}
     wanted, capacity = sum(i.replication for i in items), sum(m.limit for m in alive)
     room = {m.id: m.limit for m in alive}
     out: set[tuple[str, str]] = set()
@@ -156,33 +207,40 @@ def converge(current: set[tuple[str, str]], desired: set[tuple[str, str]], items
 
 
 def allocate_frame(items: DataFrame, members: DataFrame, current: DataFrame | None = None, network: int = 2_000) -> DataFrame:
-    """item, member. items: id, replication; members: id, zone, limit, exiting (at most 10,000 of them, else an error); current: item, member.
+    """item, member. items: id, replication; members: id, zone, limit, exiting; current: item, member.
 
-    Items fall into networks by a hash of their ids. Network k of n may use limit // n places of a member, and one
-    more if k is below the rest, the count beginning at another network for each member; so limits hold for all of them together.
+    Items fall into networks by a hash of their ids. Of n networks each may use limit // n places of a member, and some
+    one more, beginning at another network for each member of a zone; so limits hold for all of them together, and a network gets
+    only the members of which it has a place. There may be any number of members: none are gathered on the driver.
     """
-    alive = members.where("not coalesce(exiting, false) and limit > 0").limit(10_001).collect()
-    if len(alive) > 10_000:
-        raise ValueError("more than 10,000 members")
-    listed = [(m.id, m.zone, int(m.limit)) for m in sorted(alive, key=lambda m: m.id)]
+    spark = items.sparkSession
     n = max(1, -(-items.count() // network))
+    wide = width(spark)
     net = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    held = (current if current is not None else items.sparkSession.createDataFrame([], "item string, member string")).groupBy(F.col("item").alias("id")).agg(F.collect_set("member").alias("held"))
+    held = (current if current is not None else spark.createDataFrame([], "item string, member string")).groupBy(F.col("item").alias("id")).agg(F.collect_set("member").alias("held"))
     rows = items.select("id", F.col("replication").cast("int").alias("replication")).dropDuplicates(["id"]).join(held, "id", "left").withColumn("network", net)
-
-    def solve(key, frame):
-        import pandas as pd
-
-        k = int(key[0])
-        part = [Member(m, zone, limit // n + ((k - at) % n < limit % n)) for at, (m, zone, limit) in enumerate(listed)]
-        known = {m.id for m in part}
-        now = {(i, m) for i, h in zip(frame["id"], frame["held"], strict=True) if h is not None for m in h if m in known}
-        got = sorted(allocate([Item(i, int(r)) for i, r in zip(frame["id"], frame["replication"], strict=True)], part, now, network=len(frame) + 1))
-        return pd.DataFrame({"item": [i for i, _ in got], "member": [m for _, m in got]}, dtype=str)
+    alive = members.where("not coalesce(exiting, false) and limit > 0").select("id", "zone", F.col("limit").cast("bigint").alias("limit"), F.pmod(F.xxhash64("id"), F.lit(wide)).alias("bucket"))
+    nth = F.row_number().over(Window.partitionBy("zone", "bucket").orderBy("id")).cast("bigint")
+    begun = alive.withColumn("begin", nth + F.col("bucket") * n / wide + F.pmod(F.xxhash64("zone"), F.lit(n)))
+    each = begun.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("limit", F.lit(n)) - 1)).alias("k"))
+    network_of = F.pmod(F.col("begin").cast("bigint") + F.col("k"), F.lit(n)).cast("int")
+    places = F.floor(F.col("limit") / n) + F.when(F.col("k") < F.col("limit") % n, 1).otherwise(0)
+    # In each network another order, so that members of as many places are not always taken in that of their ids.
+    split = each.select("id", "zone", places.cast("bigint").alias("limit"), network_of.alias("network"), F.xxhash64("id", network_of).alias("turn"))
+
+    def solve(wanted, offered):
+        import pyarrow as pa
+
+        order = offered.sort_by([("turn", "ascending"), ("id", "ascending")])
+        part = [Member(m, zone, limit) for m, zone, limit in zip(*(order[c].to_pylist() for c in ("id", "zone", "limit")), strict=True)]
+        ids, replication, before = (wanted[c].to_pylist() for c in ("id", "replication", "held"))
+        now = {(i, m) for i, h in zip(ids, before, strict=True) for m in h or ()}
+        got = sorted(allocate([Item(i, r) for i, r in zip(ids, replication, strict=True)], part, now, network=len(ids) + 1))
+        return pa.table({"item": pa.array([i for i, _ in got], pa.string()), "member": pa.array([m for _, m in got], pa.string())})
 
     # One network a partition as far as the session is wide: rows are few, so that they would else be put together into one task.
-    spread = rows.repartition(min(n, width(items.sparkSession)), "network")
-    return materialize(spread.groupBy("network").applyInPandas(solve, "item string, member string"), "allocation")
+    spread = [d.repartition(min(n, wide), "network").groupBy("network") for d in (rows, split)]
+    return materialize(spread[0].cogroup(spread[1]).applyInArrow(solve, "item string, member string"), "allocation")
 
 
 def converge_frame(current: DataFrame, desired: DataFrame) -> DataFrame:
