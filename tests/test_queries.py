@@ -53,3 +53,14 @@ def test_query(spark, sf, duck, name):
 def test_dealt_queries_leave_the_subpackage_out():
     assert {f"p{i}_found" for i in range(1, 6)} <= set(registry.QUERIES)
     assert not [n for n in registry.QUERIES if n.startswith(("p6", "p7", "p8"))]
+
+
+def test_walks_end_at_gaps_and_are_of_any_number(spark, tmp_path):
+    """Gaps, repeats, lines from 0 or 2 on, nulls; and more lines than Spark's recursion may give (1,000,000)."""
+    odd = [(1, 1, 5), (1, 2, 9), (1, 4, 99), (2, 2, 5), (3, 0, 7), (3, 1, 2), (3, 1, 3), (3, 2, None), (3, 2, 1), (3, 3, 1), (None, 1, 4), (None, 1, 6), (None, 2, 8), (4, 1, None), (5, None, 3), (5, 1, 1)]
+    many = spark.range(1_000_100).selectExpr("id div 2 + 100 as l_orderkey", "cast(id % 2 + 1 as int) as l_linenumber", "id as l_partkey")
+    spark.createDataFrame(odd, "l_orderkey bigint, l_linenumber int, l_partkey bigint").unionByName(many).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["recursive_walk"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.execute(registry.SQL["recursive_walk"]).fetchall()))

@@ -1,13 +1,13 @@
 """The SQL shapes that stores and sample applications use: set operations, comma joins, windows, recursion, upserts.
 
 Each is one text run by Spark SQL on temporary views; the same text, where both dialects allow it,
-is its oracle. Compound set operations are parenthesised from left to right, as INTERSECT would
+is its oracle. A recursion over a table is none: Spark ends one with an error at 1,000,000 rows. Compound set operations are parenthesised from left to right, as INTERSECT would
 bind tighter otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.apps import keep_last
@@ -119,12 +119,23 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where("event_type <> 'error'")
 
 
+def recursive_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the lines of each order go on from 1 without a gap, and the largest part on the way.
+
+    What the recursion of the oracle comes to, in one pass: line n is reached if it is the n-th number from 1 on.
+    A null order is equal to none, so that its walk ends at line 1.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), "l_linenumber", "l_partkey").where("l_linenumber = 1 or l_linenumber > 1 and l_orderkey is not null")
+    nth = F.dense_rank().over(Window.partitionBy("order_key").orderBy("l_linenumber"))
+    return lines.withColumn("nth", nth).where("l_linenumber = nth").groupBy("order_key").agg(F.max("l_linenumber").alias("depth"), F.max("l_partkey").alias("top_part"))
+
+
 def running_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five latest events of each user."""
     return keep_last(table(spark, sf_dir, "events"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 5).select("user_id", "event_id")
 
 
-QUERIES |= {"upsert_latest": upsert_latest, "keep_last_events": running_keep_last}
+QUERIES |= {"recursive_walk": recursive_walk, "upsert_latest": upsert_latest, "keep_last_events": running_keep_last}
 SQL |= {
     "upsert_latest": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by 1 having arg_max(event_type, event_id) <> 'error'",
     "keep_last_events": "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 5",
